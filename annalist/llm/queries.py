@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.llm.conversations import ROLES, conversations, pilot_turns
+from annalist.llm.packing import pack
 from annalist.llm.pii import find_mentions, lexicon_terms, mask_mentions
+from annalist.llm.splitting import split_texts
+from annalist.llm.tokens import with_tokens
+from annalist.session import written
 from annalist.sources.tables import table
 
 
@@ -38,8 +42,19 @@ def p6_masked(spark: SparkSession, d: str) -> DataFrame:
     return mask_mentions(once, terms)
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of each document, for each container spec."""
+    sizes = written(with_tokens(table(spark, d, "documents", "doc_id", "text"), keep=("doc_id",)), "sizes")
+    return pack(sizes.withColumnRenamed("doc_id", "item_id"), table(spark, d, "container_specs")).withColumnRenamed("item_id", "doc_id")
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of each document that is too long for a container spec."""
+    return split_texts(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "container_specs"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p6_found, p6_masked)}
+    return {f.__name__: f for f in (p2_found, p6_found, p6_masked, p7_containers, p9_pieces)}
 
 
 def _role_sql() -> str:
