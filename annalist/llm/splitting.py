@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from heapq import heapify, heappop
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,57 +14,88 @@ from pyspark.sql import functions as F
 from annalist.llm.tokens import default_vocabulary, encoder
 
 # White space as the tokenizer's split pattern sees it, and the part of it that ends lines (fixed values).
-_NL = "\n\r\v\f\x85  "
-_WS = f" \t\xa0  -   　{_NL}"
+_NL = "\n\r\v\f\x85\u2028\u2029"
+_WS = " \t\xa0\u1680\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))) + _NL
 # A segment begins with its white space, or after the marks that end a sentence of a script without blanks. So it begins
 # where the tokenizer begins a new match, and the token counts of neighbours add up exactly.
-_BREAK = re.compile(rf"[.!?…。！？；]+[\"'”’»)\]】」』]*(?:(?=[{_WS}])|(?=[^\W_]))|(?<=[^{_WS}])(?=[{_WS}]*[{_NL}])")
+_LINES = re.compile(rf"[{_WS}]*[{_NL}][{_WS}]*")
+_MARKS = re.compile(r"[.!?…。！？；]+[\"'”’»)\]】」』]*")
+_LATIN_MARK = re.compile(r"[^。！？；]*$")
+_BLANKS = frozenset(_WS)
 _BLANK = re.compile(rf"(?<=[^{_WS}])(?=[{_WS}])")
-_LEAD = re.compile(rf"[{_WS}]*")
-_SKIP_DOT = re.compile(r"[.!?…]+[\"'”’»)\]】」』]*$")
-
 INSIDE, WORD, SENTENCE, LINE, PARAGRAPH, HEADING = range(6)
 
 
-def _strength(text: str, at: int, fenced: bool) -> int:
-    """How natural it is to cut before position at, which is followed by its white space."""
-    lead = _LEAD.match(text, at)[0]
-    ends = sum(c in _NL for c in lead) - lead.count("\r\n")
-    if not ends:
-        return SENTENCE
-    follows = text[at + len(lead) : at + len(lead) + 3]
-    if fenced:
-        return SENTENCE
-    if follows.startswith("#"):
-        return HEADING
-    if ends > 1:
-        return PARAGRAPH
-    return SENTENCE if follows.startswith("|") else LINE
-
-
 def segments(text: str) -> list[tuple[int, int]]:
     """(start, strength of the boundary before it) of the atomic segments of a text, in order; the first has HEADING.
 
     Lines of fenced code and rows of a table hold together more than other lines do.
     """
-    out = [(0, HEADING)]
+    n = len(text)
+    at = {0: HEADING}
+    for m in _MARKS.finditer(text):
+        k = m.end()
+        # in a script with blanks, a mark within a word ends no sentence, as in 3.5 or a.b
+        if k < n and (text[k] in _BLANKS or text[k].isalnum() and not _LATIN_MARK.match(m[0])):
+            at[k] = SENTENCE
     fences = "```" in text
     fenced, seen = False, 0
-    ascii_dot = None
-    for m in _BREAK.finditer(text):
-        at = m.end()
-        if at == 0 or at == len(text) or at <= out[-1][0]:
+    for m in _LINES.finditer(text):
+        a, b = m.span()
+        if a == 0 or b == n:
             continue
-        nxt = text[at]
-        if m.start() < at and nxt not in " \t" and not nxt.isspace():
-            ascii_dot = text[at - 1] in ".!?…\"')]"
-            if ascii_dot and not any(c in m[0] for c in "。！？；"):
-                continue  # a mark within a word, as in 3.5 or a.b
+        strength = SENTENCE
         if fences:
-            fenced ^= text.count("```", seen, at) % 2 == 1
-            seen = at
-        out.append((at, _strength(text, at, fenced)))
-    return out
+            fenced ^= text.count("```", seen, a) % 2 == 1
+            seen = a
+        if not fenced:
+            mark = text[b]
+            if mark == "#":
+                strength = HEADING
+            elif b - a > 1 and sum(c in _NL for c in m[0]) - m[0].count("\r\n") > 1:
+                strength = PARAGRAPH
+            elif mark != "|":
+                strength = LINE
+        at[a] = strength
+    return sorted(at.items())
+
+
+class Atoms:
+    """A text with its atomic segments and where its tokens lie; encoded once.
+
+    tokens_before(at) is exact wherever the tokenizer begins a new match: at the segments' starts and before blanks.
+    """
+
+    def __init__(self, text: str, ids: list[int], width: np.ndarray) -> None:
+        self.text = text
+        self.ends = np.cumsum(width[ids])  # in bytes
+        self.total = len(ids)
+        self.bytes_before = None
+        if not text.isascii():
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            size = 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
+            self.bytes_before = np.concatenate([[0], np.cumsum(size)])
+
+    def cut(self) -> Atoms:
+        """Finds the segments."""
+        marks = segments(self.text)
+        self.starts = [a for a, _ in marks] + [len(self.text)]
+        self.strengths = [s for _, s in marks]
+        self.upto = self.tokens_before(self.starts).tolist()
+        return self
+
+    def tokens_before(self, at: list[int]) -> np.ndarray:
+        """How many tokens end at or before each of the positions."""
+        at = np.asarray(at, dtype=np.int64)
+        return np.searchsorted(self.ends, at if self.bytes_before is None else self.bytes_before[at], side="right")
+
+    def begin_of(self, token: int) -> tuple[int, bool]:
+        """The first whole character from the beginning of a token on, and whether the token begins with it."""
+        at = int(self.ends[token - 1]) if token else 0
+        if self.bytes_before is None:
+            return at, True
+        begin = int(np.searchsorted(self.bytes_before, at))
+        return begin, int(self.bytes_before[begin]) == at
 
 
 class Splitter:
@@ -71,63 +103,54 @@ class Splitter:
 
     def __init__(self, vocabulary: str) -> None:
         self.bpe = encoder(vocabulary)
-        self.counts: dict[str, int] = {}
+        self.width = np.asarray([len(self.bpe.decode_single_token_bytes(t)) for t in range(self.bpe.max_token_value + 1)])
 
     def count(self, text: str) -> int:
-        n = self.counts.get(text)
-        if n is None:
-            n = len(self.bpe.encode_ordinary(text))
-            if len(text) < 200:
-                if len(self.counts) > 200_000:
-                    self.counts.clear()
-                self.counts[text] = n
-        return n
-
-    def atoms(self, text: str) -> tuple[list[int], list[int], list[int]]:
-        """Starts (and the end of the text), strengths and token counts of the segments."""
-        marks = segments(text)
-        starts = [a for a, _ in marks] + [len(text)]
-        return starts, [s for _, s in marks], [self.count(text[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
-
-    def _refined(self, text: str, atoms: tuple[list[int], list[int], list[int]], limit: int) -> tuple[list[int], list[int], list[int]]:
-        """The same with segments over the limit cut at blanks, and words over the limit within."""
-        if max(atoms[2]) <= limit:
-            return atoms
-        starts, strengths, counts = [], [], []
+        return len(self.bpe.encode_ordinary(text))
+
+    def atoms(self, text: str) -> Atoms:
+        return Atoms(text, self.bpe.encode_ordinary(text), self.width)
+
+    def _refined(self, atoms: Atoms, limit: int) -> tuple[list[int], list[int], list[int]]:
+        """Starts (and the end), strengths and tokens before the segments, those over the limit cut at blanks or within."""
+        counts = np.diff(atoms.upto)
+        if not len(counts) or counts.max() <= limit:
+            return atoms.starts, atoms.strengths, atoms.upto
+        starts, strengths, upto = [], [], [0]
 
         def add(a: int, s: int, n: int) -> None:
             starts.append(a)
             strengths.append(s)
-            counts.append(n)
+            upto.append(upto[-1] + n)
 
-        for k, n in enumerate(atoms[2]):
-            a, b, s = atoms[0][k], atoms[0][k + 1], atoms[1][k]
+        text = atoms.text
+        for k, n in enumerate(counts.tolist()):
+            a, b = atoms.starts[k], atoms.starts[k + 1]
             if n <= limit:
-                add(a, s, n)
+                add(a, atoms.strengths[k], n)
                 continue
-            cuts = [a, *(m.start() for m in _BLANK.finditer(text, a + 1, b) if a < m.start() < b), b]
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                n = self.count(text[x:y])
-                s = atoms[1][k] if x == a else WORD
+            cuts = [a, *(m.start() for m in _BLANK.finditer(text, a + 1, b)), b]
+            for x, y, n in zip(cuts, cuts[1:], np.diff(atoms.tokens_before(cuts)).tolist(), strict=False):
+                s = atoms.strengths[k] if x == a else WORD
                 while n > limit:
                     cut = self._within(text, x, y, limit)
                     add(x, s, self.count(text[x:cut]))
                     x, s, n = cut, INSIDE, self.count(text[cut:y])
                 add(x, s, n)
-        return [*starts, len(text)], strengths, counts
+        return [*starts, len(text)], strengths, upto
 
     def _within(self, text: str, a: int, b: int, limit: int) -> int:
         """The furthest cut in text[a:b] up to which there are at most limit tokens, by bisection."""
         low, high = a + 1, min(b, a + 16 * limit)
         while low < high:
             mid = (low + high + 1) // 2
-            if len(self.bpe.encode_ordinary(text[a:mid])) <= limit:
+            if self.count(text[a:mid]) <= limit:
                 low = mid
             else:
                 high = mid - 1
         return low
 
-    def split(self, text: str, capacity: int, overlap: int, atoms: tuple | None = None) -> list[tuple[int, int, int, int, int]]:
+    def split(self, atoms: Atoms, capacity: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
         """(from, own, to, tokens, shared tokens) of the pieces: text[from:to], of which text[from:own] is shared.
 
         Adjacent segments are held in a heap, weakest boundary first and of equals the earliest; two neighbours are merged
@@ -135,11 +158,9 @@ class Splitter:
         """
         overlap = min(overlap, capacity // 2)
         limit = capacity - overlap
-        starts, strengths, counts = self._refined(text, atoms or self.atoms(text), max(1, limit - 8 if overlap else limit))
-        n = len(counts)
-        upto = [0]
-        for c in counts:
-            upto.append(upto[-1] + c)
+        text = atoms.text
+        starts, strengths, upto = self._refined(atoms, max(1, limit - 8 if overlap else limit))
+        n = len(strengths)
         first, last = list(range(n)), list(range(n))  # of the group that ends, or begins, here
         heap = [strengths[k] << 32 | k for k in range(1, n) if strengths[k] > INSIDE]
         heapify(heap)
@@ -156,38 +177,40 @@ class Splitter:
             own, to, size = starts[a], starts[b + 1], upto[b + 1] - upto[a]
             begin, shared = own, 0
             if out and overlap:
-                begin, shared = self._share(text, starts, upto, a, overlap, floor)
+                begin, shared = self._share(atoms, starts, upto, strengths, a, overlap, floor)
                 if strengths[a] == INSIDE:  # counts don't add up here: count, and share less if it is too much
-                    while begin < own and len(self.bpe.encode_ordinary(text[begin:to])) > capacity:
+                    while begin < own and self.count(text[begin:to]) > capacity:
                         begin += 1
                     shared = self.count(text[begin:own])
-                    size = len(self.bpe.encode_ordinary(text[begin:to])) - shared
+                    size = self.count(text[begin:to]) - shared
             out.append((begin, own, to, size + shared, shared))
             floor = begin
             a = b + 1
         return out
 
-    def _share(self, text: str, starts: list[int], upto: list[int], a: int, overlap: int, floor: int) -> tuple[int, int]:
+    def _share(self, atoms: Atoms, starts: list[int], upto: list[int], strengths: list[int], a: int, overlap: int, floor: int) -> tuple[int, int]:
         """Where to begin so that overlap tokens before segment a are shared, and how many they are.
 
-        Exactly overlap where some beginning gives that, else the next larger number if that fits into one token more per
-        segment, but never more than the piece before has.
+        Exactly overlap where a beginning near that gives it, else the most below it; never more than the piece before has.
         """
         j = a
-        while j > 0 and starts[j - 1] >= floor and upto[a] - upto[j - 1] <= overlap:
+        while j > 0 and starts[j - 1] >= floor and upto[a] - upto[j - 1] <= overlap and strengths[j] > INSIDE:
             j -= 1
         shared = upto[a] - upto[j]
         want = overlap - shared
-        if want <= 0 or j == 0 or starts[j] <= floor:
+        if want <= 0 or j == 0 or starts[j] <= floor or strengths[j] == INSIDE and j < a:
             return starts[j], shared
-        x, y = max(starts[j - 1], floor), starts[j]
-        ids = self.bpe.encode_ordinary(text[x:y])
-        if len(ids) <= want:
-            return x, shared + len(ids)
-        tail = b"".join(self.bpe.decode_single_token_bytes(t) for t in ids[-want:])
-        begin = y - len(tail.decode("utf-8", "ignore"))
+        text, y = atoms.text, starts[j]
+        x = max(starts[j - 1], floor)
+        if strengths[j] == INSIDE or strengths[j - 1] == INSIDE:
+            begin = y - sum(1 for _ in self.bpe.decode(self.bpe.encode_ordinary(text[x:y])[-want:], "ignore"))
+        else:
+            begin, exact = atoms.begin_of(int(atoms.tokens_before([y])[0]) - want)
+            if exact and x < begin < y and text[begin] in _BLANKS and text[begin - 1] not in _BLANKS:
+                return begin, overlap  # the tokenizer begins a match here: nothing to count
+        begin = max(x, begin)
         for at in (begin, begin + 1, begin - 1, begin + 2, begin - 2, begin + 3):
-            if x <= at < y and len(self.bpe.encode_ordinary(text[at:y])) == want:
+            if x <= at < y and self.count(text[at:y]) == want:
                 return at, overlap
         while begin < y and self.count(text[begin:y]) > want:
             begin += 1
@@ -219,6 +242,7 @@ def split_texts(texts: DataFrame, specs: DataFrame, key: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(path)
+        least = min((w[1] for w in wanted), default=0)
         for batch in batches:
             at: list[int] = []
             out: list[tuple] = []
@@ -232,13 +256,14 @@ def split_texts(texts: DataFrame, specs: DataFrame, key: str = "doc_id", text: s
                 return made
 
             for i, t in enumerate(batch.column(1).to_pylist()):
-                if not t:
+                if not t or 4 * len(t) <= least:  # no text has more tokens than bytes
                     continue
                 atoms = splitter.atoms(t)
-                total = sum(atoms[2])
+                if atoms.total > least:
+                    atoms.cut()
                 for spec, capacity, overlap in wanted:
-                    if total > capacity:
-                        for k, (a, own, b, tokens, shared) in enumerate(splitter.split(t, capacity, overlap, atoms), 1):
+                    if atoms.total > capacity:
+                        for k, (a, own, b, tokens, shared) in enumerate(splitter.split(atoms, capacity, overlap), 1):
                             out.append((spec, k, a, own, b, tokens, shared, t[a:b]))
                             at.append(i)
                             size += b - a
