@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.llm.conversations import ROLES, conversations, pilot_turns
+from annalist.llm.mixing import mix_documents, shares
 from annalist.llm.packing import pack
 from annalist.llm.pii import find_mentions, lexicon_terms, mask_mentions
 from annalist.llm.splitting import split_texts
@@ -48,13 +49,23 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(sizes.withColumnRenamed("doc_id", "item_id"), table(spark, d, "container_specs")).withColumnRenamed("item_id", "doc_id")
 
 
+def p8_uses(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document is used in each mix."""
+    return mix_documents(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted against actual share of each source in each mix."""
+    return shares(*mix_documents(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets")))
+
+
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of each document that is too long for a container spec."""
     return split_texts(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "container_specs"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p6_found, p6_masked, p7_containers, p9_pieces)}
+    return {f.__name__: f for f in (p2_found, p6_found, p6_masked, p7_containers, p8_uses, p8_shares, p9_pieces)}
 
 
 def _role_sql() -> str:
