@@ -71,7 +71,7 @@ _DDL = "session_id string, shard int, local_no bigint, event_id string, broken b
 
 
 def _checked(key: tuple, rows: list[tuple], alone: bool) -> list[tuple]:
-    """The ordered turns of a session's shard, where a turn without reply_to replies to the last turn before its instant.
+    """The ordered turns of a session's shard, where without any reply_to each replies to the last before its instant.
 
     Of a session that is one shard, there are none if it is to be dropped. rows: at, rank, id, reply_to, missing. The first row of a shard tells whether the shard is broken, and the first and
     last role of its user and assistant turns.
@@ -79,11 +79,10 @@ def _checked(key: tuple, rows: list[tuple], alone: bool) -> list[tuple]:
     missing = any(r[4] for r in rows)
     turns = sorted((((r[0], -1 if r[1] is None else r[1], r[2]), r[2], r[3]) for r in rows if not r[4]), key=lambda t: t[0])
     earlier = None
-    for i, t in enumerate(turns):
+    for i, t in enumerate(turns if all(t[2] is None for t in turns) else ()):
         if i and t[0][0] > turns[i - 1][0][0]:
             earlier = turns[i - 1][1]
-        if t[2] is None:
-            turns[i] = (t[0], t[1], earlier)
+        turns[i] = (t[0], t[1], earlier)
     order = kahn(turns)
     talk = [turns[i][0][1] for i in order if turns[i][0][1] in (1, 3)]
     broken = missing or len(order) < len(turns) or any(t[0][1] < 0 for t in turns) or any(a == b == 1 for a, b in zip(talk, talk[1:], strict=False))
@@ -98,7 +97,7 @@ def conversations(turns: DataFrame, cuts: Cuts | None = None, **hot: int) -> Dat
     """The ordered turns of the conversations that are whole: session_id, turn_no (from 1), event_id.
 
     turns: session_id, event_id (unique), at_us, rank (of the role, null if unreadable), reply_to (the event_id the turn
-    replies to; null: the last turn before its instant), missing (true for a row that stands for a message that should be there and isn't). Each
+    replies to; where a session has none at all, each turn replies to the last one before its instant), missing (true for a row that stands for a message that should be there and isn't). Each
     session's reply graph is sorted with Kahn's algorithm, ties by at_us, then rank, then event_id. A session is dropped
     if a turn is left over (a cycle), a role unreadable, a message missing, if its user and assistant turns don't begin
     with the user's and end with the assistant's, or if a user's turn directly follows a user's.

@@ -234,7 +234,7 @@ class Scanner:
             at = m.end()
             kind, before = m.lastgroup, text[max(0, m.start() - 60) : m.start()]
             person = _OF_A_PERSON.search(before)
-            if not person and _OF_A_THING.search(before):
+            if _OF_A_THING.search(before) and not _ITS_NUMBER.search(before):
                 continue
             number = m[0].replace(" ", "")
             if kind == "ssn" or kind in ("nino", "frpass", "pass") and (person or " " not in m[0]):
