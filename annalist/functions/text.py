@@ -38,7 +38,7 @@ def anchors(text: str | Column) -> Column:
 
 
 def token_estimate(text: str | Column) -> Column:
-    """About how many tokens a text has: a quarter of its ASCII characters, rounded up, and every other one; at least 1."""
+    """About how many tokens a text has: a quarter of its ASCII characters, rounded up, and every other one; at least 1, also for null."""
     text = F.col(text) if isinstance(text, str) else text
     other = F.length(F.regexp_replace(text, r"[\x00-\x7F]", ""))
     return F.greatest(F.lit(1), F.ceil((F.length(text) - other) / 4).cast("int") + other)
