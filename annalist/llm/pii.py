@@ -117,7 +117,7 @@ _ID = re.compile(
     r")(?![\w-]|\.\d)",
     re.A,
 )
-_PHONE = re.compile(r"(?<![\w.+/:-])(?:\+\s?|\(\+|00)?\(?\d(?:[\s().\-/]{0,3}\d){6,15}(?:\s*(?:ext\.?|x|extension|durchwahl|poste|转|分机)\s*\d{1,6})?(?!\w|[./-]\d|-[A-Za-z])", re.I | re.A)
+_PHONE = re.compile(r"(?<![\w.+/:-])(?:\+ ?|\(\+|00)?\(?\d(?:[ \t().\-/]{0,3}\d){6,15}(?:\s*(?:ext\.?|x|extension|durchwahl|poste|转|分机)\s*\d{1,6})?(?!\w|[./-]\d|-[A-Za-z])", re.I | re.A)
 _US_PHONE = re.compile(r"(?:\+?1[-. ]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[-. ])\d{3}[-. ]\d{4}")
 _OF_A_PHONE = re.compile(r"(?<![A-Za-z])(?:tel|tél|phone|telephone|telefon|téléphone|mobile|mobil|handy|cell|fax|call me|call|text|ruf mich|ruf|anrufen|number is|appelez|joindre|电话|手机|拨打|致电|联系电话|传真)(?![a-z])\.?[^\n.;!?。！？\d]{0,16}$", re.I)
 
@@ -147,6 +147,10 @@ _NOT_FAMILY = frozenset("我你他她它们叫是的了在和与同由让给向
 _NOT_GIVEN = frozenset("的了在是和与会提先女同由让给向说问及或已将有没不我你他她它们")
 
 
+# Where a Chinese name stands whose parts need not be known: after an introduction, or as who will do something (fixed values).
+_HAN_INTRODUCED = re.compile(r"(?:(?:我叫|请联系|负责人[:：] ?|昨天)(?=[一-鿿]{2,4}?(?:先生|女士|小姐|老师|博士|教授|提交|会复核|[。，！\s]|$))|(?:^|(?<=[\s。！？，]))(?=[一-鿿]{2,3}会复核))([一-鿿]{2,4}?)(?=先生|女士|小姐|老师|博士|教授|提交|会复核|[。，！\s]|$)")
+
+
 class Lexicon:
     """Which words are parts of personal names: the known terms, and words put together as several of them are.
 
@@ -359,7 +363,7 @@ class Scanner:
                     b = a + 3
             yield a, b
             at = b
-        for m in re.finditer(r"(?:我叫|请联系|负责人[:：] ?|昨天)([一-鿿]{2,4}?)(?=先生|女士|小姐|老师|博士|教授|提交|会复核|[。，！\s]|$)", text):
+        for m in _HAN_INTRODUCED.finditer(text):
             if not self.lexicon.han_name.search(m[1]) and m[1][0] not in _NOT_FAMILY:
                 yield m.span(1)
 
