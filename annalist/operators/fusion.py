@@ -145,3 +145,62 @@ def marginal_gain(budget: int, most: int = 64) -> object:
         return out
 
     return choose
+
+
+def merged_routes(shares: dict[str, int], limit: int) -> object:
+    """(id, score, route): items of several routes in turns of shares (as 3 literal, 1 probe), each id once.
+
+    A route that has run out lends its turns to the others; rows come by falling score, so each route is in its own order.
+    """
+
+    def choose(rows: Iterator[tuple]) -> list[tuple]:
+        queues: dict[str, list[str]] = {r: [] for r in shares}
+        for name, _, route in rows:
+            if route in queues and len(queues[route]) < 2 * limit:  # repeats of the other routes may take as many
+                queues[route].append(name)
+        for q in queues.values():
+            q.reverse()
+        seen: set[str] = set()
+        out: list[tuple] = []
+        while len(out) < limit and any(queues.values()):
+            for route, share in shares.items():
+                taken = 0
+                while queues[route] and taken < share and len(out) < limit:
+                    name = queues[route].pop()
+                    if name not in seen:
+                        seen.add(name)
+                        out.append((name, len(out) + 1, route))
+                        taken += 1
+        return out
+
+    return choose
+
+
+def contained(spans: DataFrame, keys: list[str], lo: str, hi: str, ident: str) -> DataFrame:
+    """Spans that lie within another span of their keys (of equal ones all but the least ident), as one running maximum."""
+    w = Window.partitionBy(*keys).orderBy(F.col(lo), F.desc(hi), F.col(ident)).rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn("_reach", F.max(hi).over(w)).filter(F.col(hi) <= F.col("_reach")).drop("_reach")
+
+
+def complete_groups(members: DataFrame, alive: DataFrame, group: str, item: str, most_rounds: int = 16) -> DataFrame:
+    """Groups all of whose items are alive, where an item also dies with any of its groups, until nothing more dies."""
+    from annalist.session import written
+
+    links = members.select(group, item).distinct()
+    living = links.select(item).distinct().join(alive.select(item).distinct(), item, "left_semi")
+    before = -1
+    for _ in range(most_rounds):
+        broken = links.join(living, item, "left_anti").select(group).distinct()
+        dead = links.join(broken, group, "left_semi").select(item).distinct()
+        living = written(living.join(dead, item, "left_anti"), "living")
+        n = living.count()
+        if n == before:
+            break
+        before = n
+    return links.select(group).distinct().join(links.join(living, item, "left_anti").select(group).distinct(), group, "left_anti")
+
+
+def halvings(length: Column, least: int = 64, most: int = 13) -> Column:
+    """Widths of the variants of a text: its length, half of it, a quarter, ... as long as they are at least ``least``."""
+    widths = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(length / F.pow(F.lit(2.0), i)).cast("int"))
+    return F.filter(widths, lambda x: x >= F.least(F.lit(least), length))

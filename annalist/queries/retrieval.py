@@ -189,7 +189,36 @@ def native_pack_v2(spark: SparkSession, d: str) -> DataFrame:
     return fusion.greedy(_candidates(spark, d), ["workspace_id"], ["id", "source", "words", "score", "size"], "workspace_id string, id string, position int, used int", fusion.marginal_gain(2048))
 
 
-NAMES = (bm25_topk, bm25_gated_groups, term_statistics, chunk_postings_stats, best_chunk_per_owner, parent_window_expand, neighbour_chunks, content_anchor_filter, token_estimate_by_lang, query_coverage, rarest_anchor, cosine_topk, vector_checks, rrf_two_branch, rrf_conflict_exclusion, weighted_rank_fusion, balanced_interleave, source_rounds, linear_claim_score_topk, diversity_quota, bundle_pack, extractive_compress, native_pack_v2)
+def route_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Per query three literal hits (all terms) to one probe hit (any term), each document once, twelve in all."""
+    asked = _asked(_docs(spark, d)).groupBy("query_id").agg(F.count("*").alias("terms"))
+    hits = _bm25(spark, d).join(asked, "query_id").select("query_id", F.col("doc_id").cast("string").alias("id"), F.round("score", 6).alias("score"), (F.col("hits") * 2 >= F.col("terms")).alias("literal"))
+    both = hits.filter("literal").withColumn("route", F.lit("literal")).unionByName(hits.withColumn("route", F.lit("probe")))
+    return fusion.greedy(both, ["query_id"], ["id", "score", "route"], "query_id bigint, id string, position int, route string", fusion.merged_routes({"literal": 3, "probe": 1}, 12))
+
+
+def contained_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of 512 characters that lie within a chunk of 1,024."""
+    docs = _docs(spark, d)
+    large = search.chunks(docs, "doc_id", "text").select("doc_id", "span_start", "span_end", F.lit(0).alias("size"))
+    small = search.chunks(docs, "doc_id", "text", 512, 448).select("doc_id", "span_start", "span_end", F.lit(1).alias("size"))
+    out = fusion.contained(large.unionByName(small), ["doc_id"], "span_start", "span_end", "size")
+    return out.filter("size = 1").select("doc_id", "span_start", "span_end")
+
+
+def complete_evidence_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Claims that keep all their sources, where a source is lost with any claim that loses one."""
+    links = table(spark, d, "claim_sources").filter("claim_id IS NOT NULL AND event_id IS NOT NULL")
+    alive = table(spark, d, "memory_events", "id", "archived_at").filter("archived_at IS NULL").select(F.col("id").alias("event_id"))
+    return fusion.complete_groups(links, alive, "claim_id", "event_id")
+
+
+def event_variants(spark: SparkSession, d: str) -> DataFrame:
+    """How many ever shorter variants each document has."""
+    return _docs(spark, d).filter("length(text) > 0").select("doc_id", F.size(fusion.halvings(F.length("text"))).alias("variants"))
+
+
+NAMES = (route_merge, contained_spans, complete_evidence_groups, event_variants, bm25_topk, bm25_gated_groups, term_statistics, chunk_postings_stats, best_chunk_per_owner, parent_window_expand, neighbour_chunks, content_anchor_filter, token_estimate_by_lang, query_coverage, rarest_anchor, cosine_topk, vector_checks, rrf_two_branch, rrf_conflict_exclusion, weighted_rank_fusion, balanced_interleave, source_rounds, linear_claim_score_topk, diversity_quota, bundle_pack, extractive_compress, native_pack_v2)
 
 
 def queries() -> dict:
@@ -227,6 +256,12 @@ s AS (SELECT query_id, p.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "contained_spans": """WITH d AS (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0), l AS (SELECT doc_id, s * 896 AS a, least(s * 896 + 1024, n) AS b FROM (SELECT *, unnest(range(0, CASE WHEN n <= 1024 THEN 1 ELSE CAST(ceil((n - 1024) / 896) AS BIGINT) + 1 END)) AS s FROM d)),
+k AS (SELECT doc_id, s * 448 AS a, least(s * 448 + 512, n) AS b FROM (SELECT *, unnest(range(0, CASE WHEN n <= 512 THEN 1 ELSE CAST(ceil((n - 512) / 448) AS BIGINT) + 1 END)) AS s FROM d))
+SELECT DISTINCT k.doc_id, k.a AS span_start, k.b AS span_end FROM k JOIN l ON k.doc_id = l.doc_id AND l.a <= k.a AND k.b <= l.b""",
+        "complete_evidence_groups": """WITH RECURSIVE l AS (SELECT DISTINCT claim_id, event_id FROM claim_sources), dead(event_id) AS (SELECT event_id FROM l WHERE event_id NOT IN (SELECT id FROM memory_events WHERE archived_at IS NULL)
+UNION SELECT b.event_id FROM dead JOIN l a USING (event_id) JOIN l b ON a.claim_id = b.claim_id) SELECT DISTINCT claim_id FROM l WHERE claim_id NOT IN (SELECT claim_id FROM l WHERE event_id IN (SELECT event_id FROM dead))""",
+        "event_variants": "SELECT doc_id, len(list_filter(list_transform(range(13), lambda i: floor(length(text) / pow(2, i))), lambda x: x >= least(64, length(text)))) AS variants FROM documents WHERE length(text) > 0",
         "bm25_topk": f"WITH {_BM25}, r AS (SELECT query_id, doc_id, round(score, 6) AS score FROM s) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 20",
         "bm25_gated_groups": f"WITH {_BM25}, k AS (SELECT query_id, count(*) AS terms FROM q GROUP BY 1) SELECT query_id, doc_id, round(score, 6) AS score FROM s JOIN k USING (query_id) WHERE hits = terms",
         "term_statistics": f"WITH {_BM25} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term",

@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
+
+def _clean() -> None:
+    """Deletes the tables this program wrote for itself, when it ends."""
+    spark = SparkSession.getActiveSession()
+    for path in _written if spark else ():
+        with suppress(Exception):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+atexit.register(_clean)
+
 
 def build_session(app: str = "annalist", master: str | None = None, cpus: int | None = None, **conf: str) -> SparkSession:
     """A session with the defaults this library is tuned for.
@@ -52,8 +68,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, what: str = "step") -> DataFrame:
-    """The rows of df from a table written to the shared folder: cuts lineage and survives lost executors."""
+    """The rows of df from a table written to the shared folder: cuts lineage and survives lost executors.
+
+    The table is deleted when the program ends, so what is made of it must be saved before.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -297,3 +297,10 @@ def test_episodes_and_chains(spark):
     assert got == {"session:s": (2, "b"), "user:u": (1, "c")}
     seq = consolidate.step_sequences(spark.createDataFrame([("r", i, x) for i, x in enumerate("abc")] + [("q", 0, "a")], "run string, at int, act string"), "run", ["at"], "act", 4)
     assert [(r.run, r.sequence) for r in seq.collect()] == [("r", "a>b>c")]
+
+
+def test_merged_routes_lend_their_turns():
+    rows = [(f"l{i}", 0, "a") for i in range(2)] + [("l0", 0, "b")] + [(f"p{i}", 0, "b") for i in range(9)]
+    got = fusion.merged_routes({"a": 3, "b": 1}, 6)(iter(rows))
+    assert [r[0] for r in got] == ["l0", "l1", "p0", "p1", "p2", "p3"]
+    assert fusion.merged_routes({"a": 3, "b": 1}, 6)(iter([])) == []
