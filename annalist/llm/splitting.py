@@ -132,23 +132,28 @@ class Splitter:
             cuts = [a, *(m.start() for m in _BLANK.finditer(text, a + 1, b)), b]
             for x, y, n in zip(cuts, cuts[1:], np.diff(atoms.tokens_before(cuts)).tolist(), strict=False):
                 s = atoms.strengths[k] if x == a else WORD
-                while n > limit:
-                    cut = self._within(text, x, y, limit)
-                    add(x, s, self.count(text[x:cut]))
-                    x, s, n = cut, INSIDE, self.count(text[cut:y])
-                add(x, s, n)
+                if n <= limit:
+                    add(x, s, n)
+                    continue
+                for cut, n in self._within(atoms, x, y, limit):
+                    add(x, s, n)
+                    x, s = cut, INSIDE
         return [*starts, len(text)], strengths, upto
 
-    def _within(self, text: str, a: int, b: int, limit: int) -> int:
-        """The furthest cut in text[a:b] up to which there are at most limit tokens, by bisection."""
-        low, high = a + 1, min(b, a + 16 * limit)
-        while low < high:
-            mid = (low + high + 1) // 2
-            if self.count(text[a:mid]) <= limit:
-                low = mid
-            else:
-                high = mid - 1
-        return low
+    def _within(self, atoms: Atoms, a: int, b: int, limit: int) -> Iterator[tuple[int, int]]:
+        """Where to cut a word of more than limit tokens, and the tokens up to there: as late as the limit permits.
+
+        The tokens of the whole text say about where; each part is then counted by itself, as a cut changes its tokens.
+        """
+        text = atoms.text
+        end = int(atoms.tokens_before([b])[0])
+        while a < b:
+            begin = int(atoms.tokens_before([a])[0])
+            cut = b if end - begin <= limit else min(b, max(a + 1, atoms.begin_of(begin + limit)[0]))
+            while (n := self.count(text[a:cut])) > limit and cut > a + 1:
+                cut = max(a + 1, cut - max(1, (n - limit) // 4))
+            yield cut, n
+            a = cut
 
     def split(self, atoms: Atoms, capacity: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
         """(from, own, to, tokens, shared tokens) of the pieces: text[from:to], of which text[from:own] is shared.
