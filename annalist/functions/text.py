@@ -26,7 +26,7 @@ def terms(text: str | Column) -> Column:
         n = F.length(run)
         singles = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(run, i, F.lit(1)))
         pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(run, i, F.lit(2)))
-        return F.when(run.rlike("^[a-z0-9]"), F.array(run)).when(n == 1, singles).otherwise(F.concat(singles, pairs))
+        return F.when(run < "\u3400", F.array(run)).when(n == 1, singles).otherwise(F.concat(singles, pairs))
 
     return F.flatten(F.transform(F.regexp_extract_all(folded(text), F.lit(RUNS), F.lit(0)), of_run))
 

@@ -30,10 +30,10 @@ def postings(texts: DataFrame, key: list[str], text: str) -> DataFrame:
     return rows.select(*key, "len", F.explode("_t").alias("term")).groupBy(*key, "len", "term").agg(F.count("*").alias("tf"))
 
 
-def statistics(posted: DataFrame, texts: DataFrame, text: str) -> tuple[int, float]:
-    """Number of texts and their mean length in terms (at least 1), over all of them."""
-    row = texts.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size(terms(text)), F.lit(0))).alias("l")).collect()[0]
-    return row.n, max(1.0, row.l or 1.0)
+def statistics(posted: DataFrame, texts: DataFrame) -> tuple[int, float]:
+    """Number of texts, those without terms included, and their mean length in terms (at least 1)."""
+    n = texts.count()
+    return n, max(1.0, (posted.agg(F.sum("tf")).collect()[0][0] or 0) / max(1, n))
 
 
 def idf(n: Column, df: Column) -> Column:

@@ -13,14 +13,24 @@ def usable(vector: str | Column, dimension: int | None = None) -> Column:
     return F.coalesce(ok & (F.size(v) == dimension) if dimension else ok, F.lit(False))
 
 
+def _let(value: Column, then: object) -> Column:
+    """then(value) with the value computed once a row: within a lambda it would be computed for every element."""
+    return F.transform(F.array(value), then)[0]
+
+
 def normalised(vector: str | Column) -> Column:
     """The vector at length 1, safe for very large and small numbers; doubles."""
     v = F.col(vector) if isinstance(vector, str) else vector
-    d = F.transform(v, lambda x: x.cast("double"))
-    largest = F.array_max(F.transform(d, lambda x: F.abs(x)))
-    scaled = F.transform(d, lambda x: x / largest)
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(scaled, lambda x: x / length)
+
+    def at_length_one(scaled: Column) -> Column:
+        length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
+        return _let(length, lambda n: F.transform(scaled, lambda x: x / n))
+
+    def scaled_down(d: Column) -> Column:
+        largest = F.array_max(F.transform(d, lambda x: F.abs(x)))
+        return _let(_let(largest, lambda m: F.transform(d, lambda x: x / m)), at_length_one)
+
+    return _let(F.transform(v, lambda x: x.cast("double")), scaled_down)
 
 
 def dot(a: Column, b: Column) -> Column:

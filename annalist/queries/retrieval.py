@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions import text as T
 from annalist.operators import fusion, search, vectors
+from annalist.session import written
 from annalist.sources.tables import table
 
 
@@ -22,8 +23,8 @@ def _asked(docs: DataFrame) -> DataFrame:
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    posted = search.postings(docs, ["doc_id"], "text")
-    return search.bm25(posted, "doc_id", _asked(docs), *search.statistics(posted, docs, "text"))
+    posted = written(search.postings(docs, ["doc_id"], "text"), "postings")  # the index: texts are analysed once
+    return search.bm25(posted, "doc_id", _asked(docs), *search.statistics(posted, docs))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:

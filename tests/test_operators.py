@@ -39,12 +39,12 @@ def test_chunks_reach_the_end(spark):
 def test_bm25_edges(spark):
     docs = spark.createDataFrame([(1, "alpha beta alpha"), (2, "beta"), (3, ""), (4, None), (4, None)], "doc_id int, text string")
     posted = search.postings(docs, ["doc_id"], "text")
-    n, mean = search.statistics(posted, docs, "text")
+    n, mean = search.statistics(posted, docs)
     asked = spark.createDataFrame([(7, "alpha"), (7, "gone"), (8, "none")], "query_id int, term string")
     got = search.bm25(posted, "doc_id", asked, n, mean).collect()
     assert [(r.query_id, r.doc_id, r.hits) for r in got] == [(7, 1, 1)] and got[0].score > 0
     empty = docs.limit(0)
-    assert search.statistics(search.postings(empty, ["doc_id"], "text"), empty, "text") == (0, 1.0)
+    assert search.statistics(search.postings(empty, ["doc_id"], "text"), empty) == (0, 1.0)
 
 
 def test_fusion_leaves_out_contradictions(spark):
