@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from annalist.functions.text import terms
+from annalist.operators.sweep import by_group
+from annalist.session import written
 
 # BM25's constants, the size of chunks and the distance of their starts.
 K1, B = 1.2, 0.75
 CHUNK, STRIDE = 1024, 896
+# Queries that a task scores side by side.
+QUERY_BLOCK = 4096
 
 
 def chunks(texts: DataFrame, key: str, text: str, size: int = CHUNK, stride: int = STRIDE) -> DataFrame:
@@ -44,17 +54,159 @@ def tf_weight(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def bm25(posted: DataFrame, key: str, queries: DataFrame, n: int, mean: float) -> DataFrame:
+def index(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, len, terms (distinct) and tfs: the postings of each text in one row, map-only. Null texts count as empty; key must be unique."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            lens, coded = lists.value_lengths().to_numpy(), lists.flatten().dictionary_encode()
+            k = max(1, len(coded.dictionary))
+            cells, tfs = np.unique(np.repeat(np.arange(len(lens)), lens) * k + coded.indices.to_numpy(), return_counts=True)
+            ends = pa.array(np.searchsorted(cells, np.arange(len(lens) + 1) * k), pa.int32())
+            terms_of, tfs_of = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(cells % k))), pa.ListArray.from_arrays(ends, pa.array(tfs, pa.int64()))
+            yield pa.record_batch([batch.column(0), pa.array(lens, pa.int32()), terms_of, tfs_of], names=[key, "len", "terms", "tfs"])
+
+    out = StructType([StructField(key, texts.schema[key].dataType), StructField("len", IntegerType()), StructField("terms", ArrayType(StringType())), StructField("tfs", ArrayType(LongType()))])
+    return texts.select(key, F.coalesce(terms(text), F.array().cast("array<string>"))).mapInArrow(run, out)
+
+
+def index_statistics(indexed: DataFrame) -> tuple[int, float]:
+    """As statistics, of an index."""
+    n, total = indexed.agg(F.count("*"), F.sum("len")).collect()[0]
+    return n, max(1.0, (total or 0) / max(1, n))
+
+
+def bm25(posted: DataFrame, key: str, queries: DataFrame, n: int, mean: float, best: int | None = None, share: float = 0) -> DataFrame:
+    """bm25_indexed, of postings."""
+    return bm25_indexed(posted.groupBy(key).agg(F.max("len").alias("len"), F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs")), key, queries, n, mean, best, share)
+
+
+def bm25_indexed(indexed: DataFrame, key: str, queries: DataFrame, n: int, mean: float, best: int | None = None, share: float = 0) -> DataFrame:
     """query_id, key, score and hits (distinct query terms) of every text that has a term of the query.
 
-    queries: query_id, term (distinct). Only postings of asked terms take part; they carry the statistics of their term,
-    so a batch of queries is one join on term. A frequent term may be hot: adaptive execution splits its partition.
+    queries: query_id, term (distinct). With share only texts that have at least that share of a query's terms; with best
+    each task gives of a query's texts only those that can be among its best ones (1e-5 of score to spare, for rounding).
+    Texts are dealt to shards and queries to blocks, and each shard is scored against each block in one pass, so no pair
+    of posting and query term is a row; a task holds the queries of one block and the scores of a few texts.
     """
-    asked = queries.select("term").distinct()
-    hits = posted.join(asked, "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weights = hits.join(df, "term").select("term", key, (idf(F.lit(n), F.col("df")) * tf_weight(F.col("tf"), F.col("len"), F.lit(mean))).alias("w"))
-    return queries.join(weights, "term").groupBy("query_id", key).agg(F.sum("w").alias("score"), F.count("*").alias("hits"))
+    spark = indexed.sparkSession
+    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = indexed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    size = queries.groupBy("query_id").agg(F.count("*").alias("size"))  # terms that no text has count too
+    asked = queries.join(df, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", idf(F.lit(n), F.col("df")).alias("w"))).alias("t")).join(size, "query_id")
+    asked = written(asked.select("query_id", "size", F.col("t.term").alias("terms"), F.col("t.w").alias("weights")), "asked")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    every = lambda k, name: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(name)
+    asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).select("_block", every(shards, "_shard"), F.lit(0).alias("_text"), "query_id", F.lit(None).cast(indexed.schema[key].dataType).alias(key), "size", "terms", "weights")
+    weights = F.transform("tfs", lambda tf: tf_weight(tf, F.col("len"), F.lit(mean)))
+    texts = indexed.select(every(blocks, "_block"), F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("_shard"), F.lit(1).alias("_text"), F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), key, F.lit(None).cast("bigint").alias("size"), "terms", weights.alias("weights"))
+    out = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField(key, indexed.schema[key].dataType), StructField("score", DoubleType()), StructField("hits", LongType())])
+    rows = by_group(asked.unionByName(texts), ["_block", "_shard"], ["_text"])
+    return rows.mapInArrow(lambda batches: _scored(batches, key, best, share), out)
+
+
+class _Block:
+    """The queries of one block, as lists of the queries that ask for each term."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        terms = rows["terms"].combine_chunks()
+        coded = terms.flatten().dictionary_encode()
+        codes, lens = coded.indices.to_numpy(), terms.value_lengths().to_numpy()
+        order = np.argsort(codes, kind="stable")
+        self.ids, self.size, self.known = rows["query_id"].combine_chunks(), rows["size"].to_numpy(), coded.dictionary
+        self.query = np.repeat(np.arange(len(lens)), lens)[order]
+        self.idf = _weights(rows)[order]
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(self.known)))])
+
+
+def _weights(rows: pa.Table) -> np.ndarray:
+    return rows["weights"].combine_chunks().flatten().to_numpy()
+
+
+def _scored(batches: Iterator[pa.RecordBatch], key: str, best: int | None, share: float) -> Iterator[pa.RecordBatch]:
+    """What bm25 gives, from rows sorted by block and shard, queries before texts."""
+    group, waiting, block = None, [], None
+    found: list[pa.Table] = []
+    least = np.zeros(0)
+
+    def kept(tables: list[pa.Table]) -> pa.Table:
+        """Of each query the rows that can be among its best; raises least to what that takes."""
+        rows = pa.concat_tables(tables)
+        q, s = rows["_q"].to_numpy(), rows["score"].to_numpy()
+        order = np.lexsort((-s, q))
+        q, s = q[order], s[order]
+        starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        nth = starts + best - 1
+        full = nth < np.r_[starts[1:], len(q)]
+        least[q[starts[full]]] = s[nth[full]] - 1e-5
+        return rows.take(order[s >= least[q]])
+
+    def given(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        out = pa.table([block.ids.take(rows["_q"].combine_chunks()), rows[key], rows["score"], rows["hits"]], names=["query_id", key, "score", "hits"])
+        yield from out.to_batches(max_chunksize=50_000)
+
+    for batch in batches:
+        whole = pa.Table.from_batches([batch])
+        b, s, t = (whole[c].to_numpy() for c in ("_block", "_shard", "_text"))
+        cuts = np.flatnonzero((b[1:] != b[:-1]) | (s[1:] != s[:-1]) | (t[1:] != t[:-1])) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(b)], strict=True):
+            if lo == hi:
+                continue
+            if group != (b[lo], s[lo]):
+                if found:
+                    yield from given(kept(found))
+                group, waiting, block, found = (b[lo], s[lo]), [], None, []
+            part = whole.slice(lo, hi - lo)
+            if t[lo] == 0:
+                waiting.append(part)
+                continue
+            if block is None:
+                if not waiting:
+                    continue
+                block = _Block(pa.concat_tables(waiting))
+                least = np.full(len(block.ids), -np.inf)
+            for rows in _pairs(block, part, key, share, least if best else None):
+                if not best:
+                    yield from given(rows)
+                elif rows.num_rows:
+                    found.append(rows)
+                    if sum(x.num_rows for x in found) > 30 * best * len(block.ids):
+                        found = [kept(found)]
+            if found:
+                found = [kept(found)]
+    if found:
+        yield from given(kept(found))
+
+
+def _pairs(block: _Block, part: pa.Table, key: str, share: float, least: np.ndarray | None) -> Iterator[pa.Table]:
+    """_q (number of the query), key, score, hits of the texts of part, a few texts at a time."""
+    terms, nq = part["terms"].combine_chunks(), len(block.ids)
+    codes = pc.index_in(terms.flatten(), value_set=block.known)
+    has = codes.is_valid().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(part.num_rows), terms.value_lengths().to_numpy())[has]
+    weight = _weights(part)[has]
+    codes = codes.drop_null().to_numpy()
+    step = max(1, 500_000 // nq)
+    for first in range(0, part.num_rows, step):
+        m = min(step, part.num_rows - first)
+        lo, hi = np.searchsorted(row, [first, first + m])
+        c = codes[lo:hi]
+        n = block.at[c + 1] - block.at[c]
+        total = int(n.sum())
+        if not total:
+            continue
+        where = np.repeat(block.at[c] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(total)
+        cell = np.repeat((row[lo:hi] - first) * nq, n) + block.query[where]
+        score = np.bincount(cell, np.repeat(weight[lo:hi], n) * block.idf[where], m * nq)
+        hits = np.bincount(cell, minlength=m * nq)
+        keep = hits > 0
+        if share:
+            keep &= hits >= share * np.tile(block.size, m)
+        if least is not None:
+            keep &= score >= np.tile(least, m)
+        at = np.flatnonzero(keep)
+        yield pa.table({"_q": pa.array(at % nq), key: part[key].combine_chunks().take(pa.array(at // nq + first)), "score": pa.array(score[at]), "hits": pa.array(hits[at], pa.int64())})
 
 
 def top(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -16,27 +16,30 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(docs: DataFrame) -> DataFrame:
-    """The texts that are asked for: of every row whose id is divisible by 50, its six first anchors."""
-    terms = F.slice(F.array_sort(T.anchors("text")), 1, 6)
-    return docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.explode(terms).alias("term"))
+    """The texts that are asked for: of every row whose id is divisible by 50, all its anchors."""
+    return docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.explode(T.anchors("text")).alias("term")).distinct()
 
 
-def _bm25(spark: SparkSession, d: str) -> DataFrame:
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, tuple]:
+    """The index, and all that search.bm25_indexed takes before its bounds."""
     docs = _docs(spark, d)
-    posted = written(search.postings(docs, ["doc_id"], "text"), "postings")  # the index: texts are analysed once
-    return search.bm25(posted, "doc_id", _asked(docs), *search.statistics(posted, docs))
+    indexed = written(search.index(docs, "doc_id", "text"), "index")  # texts are analysed once
+    return indexed, ("doc_id", _asked(docs), *search.index_statistics(indexed))
+
+
+def _bm25(spark: SparkSession, d: str, best: int | None = None, share: float = 0) -> DataFrame:
+    indexed, how = _index(spark, d)
+    return search.bm25_indexed(indexed, *how, best, share)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    scored = _bm25(spark, d).withColumn("score", F.round("score", 6))
+    scored = _bm25(spark, d, 20).withColumn("score", F.round("score", 6))
     return search.top(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], 20).select("query_id", "doc_id", "score", "rank")
 
 
 def bm25_gated_groups(spark: SparkSession, d: str) -> DataFrame:
     """Only texts that have every term of the query."""
-    asked = _asked(_docs(spark, d)).groupBy("query_id").agg(F.count("*").alias("terms"))
-    hits = _bm25(spark, d).join(asked, "query_id").filter("hits = terms")
-    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return _bm25(spark, d, share=1).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 def term_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -191,10 +194,10 @@ def native_pack_v2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def route_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Per query three literal hits (all terms) to one probe hit (any term), each document once, twelve in all."""
-    asked = _asked(_docs(spark, d)).groupBy("query_id").agg(F.count("*").alias("terms"))
-    hits = _bm25(spark, d).join(asked, "query_id").select("query_id", F.col("doc_id").cast("string").alias("id"), F.round("score", 6).alias("score"), (F.col("hits") * 2 >= F.col("terms")).alias("literal"))
-    both = hits.filter("literal").withColumn("route", F.lit("literal")).unionByName(hits.withColumn("route", F.lit("probe")))
+    """Per query three literal hits (half of its terms) to one probe hit (any term), each document once, twelve in all."""
+    indexed, how = _index(spark, d)
+    route = lambda name, share: search.bm25_indexed(indexed, *how, 24, share).select("query_id", F.col("doc_id").cast("string").alias("id"), F.round("score", 6).alias("score"), F.lit(name).alias("route"))
+    both = route("literal", 0.5).unionByName(route("probe", 0))  # merged_routes takes 2 * 12 of a route at most
     return fusion.greedy(both, ["query_id"], ["id", "score", "route"], "query_id bigint, id string, position int, route string", fusion.merged_routes({"literal": 3, "probe": 1}, 12))
 
 

@@ -47,6 +47,37 @@ def test_bm25_edges(spark):
     assert search.statistics(search.postings(empty, ["doc_id"], "text"), empty) == (0, 1.0)
 
 
+def test_bm25_asks_with_every_anchor(spark, tmp_path):
+    import math
+
+    from annalist.queries import retrieval
+
+    r = random.Random(5)
+    words = [f"w{i:02}" for i in range(30)]
+    texts = {i: r.choices(words, [1 / (k + 1) for k in range(30)], k=r.randrange(30, 60)) for i in range(150)}
+    spark.createDataFrame([(i, " ".join(t), "s", "en") for i, t in texts.items()], "doc_id bigint, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    mean, df = sum(map(len, texts.values())) / 150, {w: sum(w in t for t in texts.values()) for w in words}
+    want = {}
+    for q in (0, 50, 100):
+        asked = set(texts[q])
+        assert len(asked) > 6
+        for i, t in texts.items():
+            if both := asked & set(t):
+                score = sum(math.log(1 + (150 - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in both)
+                want[q, i] = (score, len(both), len(both) / len(asked))
+    top = {(x.query_id, x.rank): x for x in retrieval.bm25_topk(spark, str(tmp_path)).collect()}
+    for q in (0, 50, 100):
+        best = sorted((-round(s, 6), i) for (k, i), (s, _, _) in want.items() if k == q)[:20]
+        assert [(top[q, n + 1].doc_id, round(top[q, n + 1].score, 5)) for n in range(20)] == [(i, round(-s, 5)) for s, i in best]
+    assert rows(retrieval.query_coverage(spark, str(tmp_path))) == sorted(((q, i, round(c, 6)) for (q, i), (_, _, c) in want.items()), key=repr)
+    assert {(x.query_id, x.doc_id) for x in retrieval.bm25_gated_groups(spark, str(tmp_path)).collect()} == {k for k, (_, _, c) in want.items() if c == 1}
+    routes = [(q, f"{i}", -round(s, 6), x) for (q, i), (s, _, c) in want.items() for x in ["literal"] * (2 * c >= 1) + ["probe"]]
+    merged = fusion.merged_routes({"literal": 3, "probe": 1}, 12)
+    assert rows(retrieval.route_merge(spark, str(tmp_path))) == sorted(((k, *x) for k in (0, 50, 100) for x in merged((i, s, x) for q, i, s, x in sorted(routes, key=lambda r: (r[2], r[1])) if q == k)), key=repr)
+    rarest = {(x.query_id, x.term) for x in retrieval.rarest_anchor(spark, str(tmp_path)).collect()}
+    assert rarest == {(q, w) for q in (0, 50, 100) for w in set(texts[q]) if df[w] == min(df[v] for v in texts[q])}
+
+
 def test_fusion_leaves_out_contradictions(spark):
     df = spark.createDataFrame([("q", "a", "m1", 1, ["x"], "t"), ("q", "a", "m2", 2, ["y"], "t"), ("q", "a", "m2", 5, ["y"], "t"), ("q", "b", "m1", 2, ["x"], "t"), ("q", "b", "m2", 1, ["x"], "other"), ("q", "c", "m1", 3, ["z"], None)], "g string, id string, method string, rank int, evidence array<string>, said string")
     got = {r.id: r for r in fusion.fuse(df, ["g"], "id", ["said"]).collect()}
