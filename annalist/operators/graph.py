@@ -19,15 +19,19 @@ def neighbours(edges: DataFrame, frontier: DataFrame, direction: str = "both") -
     return out if direction == "out" else into if direction == "in" else out.unionByName(into)
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most_depth: int = 8, cut_every: int = 2) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, most_depth: int | None = None, cut_every: int = 2) -> DataFrame:
     """root, node, depth: every node that follows from a root along src -> dst, at its least depth (the root itself at 0).
 
-    Breadth first, one join a round; nodes seen before do not go on, so cycles end. Ends early when a round finds nothing.
+    Breadth first, one join a round; nodes seen before do not go on, so cycles end. Ends when a round finds nothing, or
+    at most_depth if the caller wants no deeper nodes.
     """
     seen = roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0))
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("_next")).distinct()
-    frontier = seen
-    for depth in range(1, most_depth + 1):
+    if most_depth is None:
+        step = written(step, "step")
+    frontier, depth = seen, 0
+    while most_depth is None or depth < most_depth:
+        depth += 1
         found = frontier.join(step, "node").select("root", F.col("_next").alias("node")).distinct()
         frontier = found.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
         if depth % cut_every == 0 or depth == most_depth:

@@ -116,7 +116,7 @@ def invalidation_closure(spark: SparkSession, d: str) -> DataFrame:
     claims = table(spark, d, "claims", "id", "supersedes").filter("id IS NOT NULL AND supersedes IS NOT NULL").distinct()
     gone = table(spark, d, "memory_events", "id", "archived_at").filter("archived_at IS NOT NULL").select(F.col("id").alias("event_id")).distinct()
     roots = table(spark, d, "claim_sources").join(gone, "event_id", "left_semi").select(F.col("claim_id").alias("node")).distinct()
-    out = graph.reachable(claims.select(F.col("supersedes").alias("src"), F.col("id").alias("dst")), roots, 8)
+    out = graph.reachable(claims.select(F.col("supersedes").alias("src"), F.col("id").alias("dst")), roots)
     return out.groupBy("node").agg(F.min("depth").alias("depth")).select(F.col("node").alias("claim_id"), "depth")
 
 

@@ -141,6 +141,15 @@ def test_graph_with_cycles(spark):
     assert rows(graph.valid_from_roots(nodes, needs)) == [("a", False), ("b", False), ("c", False), ("d", False), ("x", True), ("y", True)]
 
 
+def test_closure_has_no_depth(spark, tmp_path):
+    from annalist.queries import graphs
+
+    spark.createDataFrame([(f"c{i}", f"c{i - 1}" if i else None) for i in range(14)] + [("x", "y"), ("y", "x")], "id string, supersedes string").write.parquet(f"{tmp_path}/claims.parquet")
+    spark.createDataFrame([("e", dt(2026, 1, 1)), ("f", None)], "id string, archived_at timestamp").write.parquet(f"{tmp_path}/memory_events.parquet")
+    spark.createDataFrame([("c0", "e"), ("x", "e"), ("z", "f")], "claim_id string, event_id string").write.parquet(f"{tmp_path}/claim_sources.parquet")
+    assert rows(graphs.invalidation_closure(spark, str(tmp_path))) == sorted([(f"c{i}", i) for i in range(14)] + [("x", 0), ("y", 1)], key=repr)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     r = random.Random(seed)
