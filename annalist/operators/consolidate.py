@@ -29,8 +29,10 @@ def procedures(runs: DataFrame, action: str, success: str, quality: str, ident:
     return out.withColumn("refused", why)
 
 
-def step_sequences(steps: DataFrame, run: str, order: list[str], action: str, most_steps: int) -> DataFrame:
-    """Each run's actions in order as one string, for runs of 2 to most_steps steps; longer ones are counted, not listed."""
-    short = steps.groupBy(run).agg(F.count("*").alias("steps")).filter(F.col("steps").between(2, most_steps))
+def step_sequences(steps: DataFrame, run: str, order: list[str], action: str, most_steps: int | None = None) -> DataFrame:
+    """Each run's actions in order as one string, for runs of two steps or more; with most_steps longer ones are left out."""
+    short = steps.groupBy(run).agg(F.count("*").alias("steps")).filter("steps >= 2")
+    if most_steps is not None:
+        short = short.filter(F.col("steps") <= most_steps)
     kept = steps.join(short, run)
     return kept.groupBy(run, "steps").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, action))), lambda x: x[action]), ">").alias("sequence"))

@@ -226,8 +226,9 @@ def feedback_chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def multi_step_procedures(spark: SparkSession, d: str) -> DataFrame:
+    """How many sessions went through each sequence of steps, however long."""
     rows = _events(spark, d, "session_id", "event_type", "occurred_at").filter("session_id IS NOT NULL")
-    seq = consolidate.step_sequences(rows, "session_id", ["occurred_at", "id"], "event_type", 6)
+    seq = consolidate.step_sequences(rows, "session_id", ["occurred_at", "id"], "event_type")
     return seq.groupBy("sequence").agg(F.count("*").alias("runs"))
 
 

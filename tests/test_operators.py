@@ -339,6 +339,16 @@ def test_episodes_and_chains(spark):
     assert [(r.run, r.sequence) for r in seq.collect()] == [("r", "a>b>c")]
 
 
+def test_long_sessions_are_listed(spark, tmp_path):
+    from annalist.queries import measures
+
+    steps = {"a": 7, "b": 7, "c": 40, "d": 2, "e": 1}
+    events = [(f"{s}{i:02}", s, f"k{i % 3}", dt(2026, 1, 1, i // 60, i % 60)) for s, n in steps.items() for i in range(n)]
+    spark.createDataFrame(events, "id string, session_id string, event_type string, occurred_at timestamp").write.parquet(f"{tmp_path}/memory_events.parquet")
+    of = lambda n: ">".join(f"k{i % 3}" for i in range(n))
+    assert rows(measures.multi_step_procedures(spark, str(tmp_path))) == sorted([(of(7), 2), (of(40), 1), (of(2), 1)], key=repr)
+
+
 def test_merged_routes_lend_their_turns():
     rows = [(f"l{i}", 0, "a") for i in range(2)] + [("l0", 0, "b")] + [(f"p{i}", 0, "b") for i in range(9)]
     got = fusion.merged_routes({"a": 3, "b": 1}, 6)(iter(rows))
