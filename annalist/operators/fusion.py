@@ -182,14 +182,14 @@ def contained(spans: DataFrame, keys: list[str], lo: str, hi: str, ident: str) -
     return spans.withColumn("_reach", F.max(hi).over(w)).filter(F.col(hi) <= F.col("_reach")).drop("_reach")
 
 
-def complete_groups(members: DataFrame, alive: DataFrame, group: str, item: str, most_rounds: int = 16) -> DataFrame:
+def complete_groups(members: DataFrame, alive: DataFrame, group: str, item: str) -> DataFrame:
     """Groups all of whose items are alive, where an item also dies with any of its groups, until nothing more dies."""
     from annalist.session import written
 
     links = members.select(group, item).distinct()
     living = links.select(item).distinct().join(alive.select(item).distinct(), item, "left_semi")
     before = -1
-    for _ in range(most_rounds):
+    while True:
         broken = links.join(living, item, "left_anti").select(group).distinct()
         dead = links.join(broken, group, "left_semi").select(item).distinct()
         living = written(living.join(dead, item, "left_anti"), "living")

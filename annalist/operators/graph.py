@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.operators.sweep import by_group, sized, stream_groups
@@ -95,21 +95,35 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return alone.join(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def valid_from_roots(nodes: DataFrame, needs: DataFrame, most_rounds: int = 64, cut_every: int = 3) -> DataFrame:
+def valid_from_roots(nodes: DataFrame, needs: DataFrame, cut_every: int = 3) -> DataFrame:
     """id, valid: valid if all it needs is (needs: id, parent); what needs a missing node or is on a cycle never becomes so.
 
-    The least fixpoint, from nodes without needs on; each round adds the nodes whose last need was met.
+    Lines of nodes with one need each are halved by pointer jumping, in rounds that grow with the logarithm of their
+    length. Then the least fixpoint, from nodes without needs on, until a count shows that nothing was added.
     """
-    total = needs.select("id", "parent").distinct().groupBy("id").agg(F.count("*").alias("_all"))
-    state = nodes.select("id").distinct().join(total, "id", "left").fillna(0, ["_all"])
-    state = written(state, "needs")
-    good = state.filter("_all = 0").select("id")
-    links = needs.select("id", "parent").distinct()
+    links = needs.select("id", "parent").distinct().join(nodes.select("id").distinct(), "id", "left_semi")
+    links = written(links.withColumn("_all", F.count("*").over(Window.partitionBy("id"))), "needs")
+    line = links.filter("_all = 1").select("id", "parent")
     before = -1
-    for k in range(most_rounds):
+    while True:
+        further = line.select(F.col("id").alias("parent"), F.col("parent").alias("_next"))
+        line = written(line.join(further, "parent", "left").select("id", F.coalesce("_next", "parent").alias("parent")), "lines")
+        n = line.join(line.select(F.col("id").alias("parent")), "parent", "left_semi").count()
+        if n in (0, before):
+            break  # what is left is on cycles or leads to one
+        before = n
+    ends = line.select(F.col("id").alias("parent"), F.col("parent").alias("_end"))
+    many = links.filter("_all > 1").join(ends, "parent", "left").select("id", F.coalesce("_end", "parent").alias("parent"))
+    links = written(line.unionByName(many).distinct(), "needs")
+    total = links.groupBy("id").agg(F.count("*").alias("_all"))
+    state = written(nodes.select("id").distinct().join(total, "id", "left").fillna(0, ["_all"]), "needs")
+    good = state.filter("_all = 0").select("id")
+    before, k = -1, 0
+    while True:
         met = links.join(good.select(F.col("id").alias("parent")), "parent", "left_semi").groupBy("id").agg(F.count("*").alias("_met"))
         good = state.join(met, "id", "left").filter("_all = 0 OR _all = _met").select("id")
-        if k % cut_every == cut_every - 1:
+        k += 1
+        if k % cut_every == 0:
             good = written(good, "valid")
             n = good.count()
             if n == before:

@@ -150,6 +150,26 @@ def test_closure_has_no_depth(spark, tmp_path):
     assert rows(graphs.invalidation_closure(spark, str(tmp_path))) == sorted([(f"c{i}", i) for i in range(14)] + [("x", 0), ("y", 1)], key=repr)
 
 
+def test_validity_of_long_lines(spark):
+    r = random.Random(2)
+    needs = [(f"a{i}", f"a{i - 1}") for i in range(1, 90)] + [("x", "y"), ("y", "x"), ("z", "y"), ("lost", "gone"), ("after", "lost"), ("self", "self")]
+    needs += [(f"m{i}", r.choice([f"a{r.randrange(90)}", f"m{r.randrange(i)}", "z" if r.random() < 0.1 else "a5"])) for i in range(1, 40) for _ in range(2)] + [("m0", "a89")]
+    names = sorted({a for a, _ in needs} | {"a0"})
+    good, grown = set(), True
+    while grown:
+        grown = {x for x in names if x not in good and all(p in good for a, p in needs if a == x)}
+        good |= grown
+    got = graph.valid_from_roots(spark.createDataFrame([(x,) for x in names], "id string"), spark.createDataFrame(needs, "id string, parent string"))
+    assert {(x.id, x.valid) for x in got.collect()} == {(x, x in good) for x in names} and "a89" in good and "x" not in good
+
+
+def test_groups_die_along_long_chains(spark):
+    members = [(f"g{i:02}", f"i{j:02}") for i in range(24) for j in (i, i + 1)] + [("h", "k")]
+    alive = [(f"i{j:02}",) for j in range(1, 25)] + [("k",)]
+    got = fusion.complete_groups(spark.createDataFrame(members, "g string, i string"), spark.createDataFrame(alive, "i string"), "g", "i")
+    assert rows(got) == [("h",)]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     r = random.Random(seed)
