@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
+from heapq import heapify, heappop, heapreplace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -106,39 +106,43 @@ def within_budget(budget: int) -> object:
     return choose
 
 
-#: The pool of candidates that are weighed against each other (fixed value); cut it with search.top before.
-POOL = 2400
-
-
 def marginal_gain(budget: int, most: int = 64) -> object:
     """(id, source, terms as a blank-separated string, score, size): repeatedly the item that adds the most for its query.
 
     Gain is relevance, a little for coverage and novelty of terms and for a new source, less redundancy (fixed weights);
-    what does not fit is skipped.
+    what does not fit is skipped. Every item of a group is weighed: a gain never grows as more is chosen, so one computed
+    before is an upper bound and only the top of a heap is computed anew. The rows of a group are held in memory.
     """
 
     def choose(stream: Iterator[tuple]) -> list[tuple]:
-        rows = list(islice(stream, POOL))
+        rows = list({r[0]: r for r in stream}.values())
         low = min(0.0, min(r[3] for r in rows))
         span = max(r[3] for r in rows) - low or 1.0
-        left = {r[0]: (r, set(r[2].split())) for r in rows}
+        everything = len(set().union(*(r[2].split() for r in rows)) or {""})
         seen: set[str] = set()
         sources: set[str] = set()
-        everything = set().union(*(t for _, t in left.values())) or {""}
+
+        def key(r: tuple) -> tuple[float, str]:
+            words = set(r[2].split())
+            fresh = len(words - seen)
+            gain = (r[3] - low) / span + 0.01 * len(words) / everything + 0.01 * fresh / max(1, len(words)) + 0.005 * (r[1] not in sources) - 0.03 * (1 - fresh / max(1, len(words)))
+            return -gain, r[0]
+
+        heap = [(*key(r), n) for n, r in enumerate(rows)]
+        heapify(heap)
         out, used = [], 0
-        while left and len(out) < most:
-            best = None
-            for name, (r, words) in left.items():
-                if used + r[4] > budget:
-                    continue
-                fresh = len(words - seen)
-                gain = (r[3] - low) / span + 0.01 * len(words) / len(everything) + 0.01 * fresh / max(1, len(words)) + 0.005 * (r[1] not in sources) - 0.03 * (1 - fresh / max(1, len(words)))
-                if best is None or (-gain, name) < best[:2]:
-                    best = (-gain, name)
-            if best is None:
-                break
-            r, words = left.pop(best[1])
-            seen |= words
+        while heap and len(out) < most:
+            n = heap[0][2]
+            r = rows[n]
+            if used + r[4] > budget:
+                heappop(heap)
+                continue
+            now = (*key(r), n)
+            if now > heap[0]:
+                heapreplace(heap, now)
+                continue
+            heappop(heap)
+            seen |= set(r[2].split())
             sources.add(r[1])
             used += r[4]
             out.append((r[0], len(out) + 1, used))

@@ -169,7 +169,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of each workspace: its documents with a score and a size."""
     docs = table(spark, d, "documents", "doc_id", "workspace_id", "source", "text", "n_chars").filter("workspace_id IS NOT NULL")
     kind = F.element_at(F.array(*(F.lit(k) for k in fusion.KIND_QUOTA)), (F.pmod("doc_id", F.lit(6)) + 1).cast("int"))
-    return docs.select("workspace_id", F.col("doc_id").cast("string").alias("id"), kind.alias("kind"), (F.pmod(F.col("doc_id") * 7919, F.lit(1000)) / 1000).alias("score"), F.lower(F.trim("source")).alias("source"), T.token_estimate("text").alias("size"), F.array_join(F.slice(F.array_sort(T.anchors("text")), 1, 40), " ").alias("words"))
+    return docs.select("workspace_id", F.col("doc_id").cast("string").alias("id"), kind.alias("kind"), (F.pmod(F.col("doc_id") * 7919, F.lit(1000)) / 1000).alias("score"), F.lower(F.trim("source")).alias("source"), T.token_estimate("text").alias("size"), F.array_join(T.anchors("text"), " ").alias("words"))
 
 
 def diversity_quota(spark: SparkSession, d: str) -> DataFrame:

@@ -374,3 +374,29 @@ def test_merged_routes_lend_their_turns():
     got = fusion.merged_routes({"a": 3, "b": 1}, 6)(iter(rows))
     assert [r[0] for r in got] == ["l0", "l1", "p0", "p1", "p2", "p3"]
     assert fusion.merged_routes({"a": 3, "b": 1}, 6)(iter([])) == []
+
+
+def test_marginal_gain_weighs_every_item(spark, tmp_path):
+    r = random.Random(8)
+    few = [(f"i{n:04}", r.choice("xyz"), " ".join(r.choices("abcdefghijkl", k=r.randrange(7))), r.choice([0.5, 0.51, 0.52, r.random()]), r.randrange(1, 9)) for n in range(300)]
+    left, seen, sources, want, used = {x[0]: x for x in few}, set(), set(), [], 0
+    span, everything = max(x[3] for x in few), len(set("".join(x[2] for x in few).replace(" ", "")))
+
+    def gain(x):
+        words = set(x[2].split())
+        new = len(words - seen) / max(1, len(words))
+        return x[3] / span + 0.01 * len(words) / everything + 0.01 * new + 0.005 * (x[1] not in sources) - 0.03 * (1 - new)
+
+    while len(want) < 64 and (fit := [x for x in left.values() if used + x[4] <= 200]):
+        x = left.pop(min(fit, key=lambda x: (-round(gain(x), 12), x[0]))[0])
+        used, seen, sources = used + x[4], seen | set(x[2].split()), sources | {x[1]}
+        want.append((x[0], len(want) + 1, used))
+    assert fusion.marginal_gain(200)(iter(sorted(few, key=lambda x: (-x[3], x[0])))) == want
+    many = [(f"i{n:04}", "x", "a", 1 - n / 10_000, 300) for n in range(2_500)] + [("last", "y", "b", 0.1, 1)]
+    assert fusion.marginal_gain(200)(iter(many)) == [("last", 1, 1)]
+
+    from annalist.queries import retrieval
+
+    texts = [(n, "w", "s", " ".join(f"t{k:02}" for k in range(60)), 240) for n in range(2)]
+    spark.createDataFrame(texts, "doc_id bigint, workspace_id string, source string, text string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {len(x.words.split()) for x in retrieval._candidates(spark, str(tmp_path)).collect()} == {60}
