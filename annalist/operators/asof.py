@@ -43,7 +43,7 @@ def as_known(events: DataFrame, versions: DataFrame, keys: tuple[str, ...], peri
         for i, c in enumerate(instants):
             inside = F.col(c) - (1 if c == "hi" else 0)
             cal = F.floor(inside / period_us).cast("bigint") if c != "hi" else F.when(F.col(c) >= 2**62, F.lit(2**40)).otherwise(F.floor(inside / period_us).cast("bigint"))
-            df = df.withColumn(f"_p{i}", cal * 1024 + shard_of(inside))
+            df = df.withColumn(f"_p{i}", cal * 2**20 + shard_of(inside))
         return df.drop("_cuts")
 
     spans = period(spans, "at", "hi")

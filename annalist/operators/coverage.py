@@ -31,7 +31,7 @@ def coverage(intervals: DataFrame, keys: tuple[str, ...], lo: str, hi: str, cuts
     rows = intervals.select(*names, F.col(lo).cast("bigint").alias("lo"), F.col(hi).cast("bigint").alias("hi")).filter(F.col("lo") < F.col("hi"))
     cuts = cuts or find_cuts(rows, keys, ["lo", "hi"], **hot)
     # equal starts: only the longest matters, and copies are gone before anything moves
-    parts = pieces(rows, cuts, "lo", "hi", []).groupBy(*names, "shard", "lo").agg(F.max("hi").alias("hi"))
+    parts = pieces(rows, cuts, "lo", "hi").groupBy(*names, "shard", "lo").agg(F.max("hi").alias("hi"))
     local = _merged(parts, [*names, "shard"])
 
     def stacked(df: DataFrame, *kinds: F.Column) -> DataFrame:

@@ -19,21 +19,21 @@ def _ended(column: str) -> F.Column:
     return F.when(F.col(column) == NO_END, F.lit(-1)).otherwise(F.col(column)).alias(column)
 
 
-def _ledger_of(spark: SparkSession, d: str, history: bool) -> DataFrame:
+def _ledger_of(spark: SparkSession, d: str) -> DataFrame:
     claims = table(spark, d, "claims")
     rows = counted_intervals(claims, micros("created_at").alias("created_us"), "version", "supersedes", "value_json")
     cuts = find_cuts(counted_intervals(claims), SLOT, ["from_us", "to_us"])
-    return ledger(one_per_id(rows, "created_us"), history, cuts)
+    return ledger(one_per_id(rows, "created_us"), cuts)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Each slot's history as believed now: one row per longest period of one value."""
-    return value_periods(_ledger_of(spark, d, history=False)).select(*SLOT, "claim_id", "from_us", _ended("to_us"))
+    """Each slot's history as the ledger has it now: one row per longest period of one value."""
+    return value_periods(_ledger_of(spark, d)).select(*SLOT, "claim_id", "from_us", _ended("to_us"))
 
 
 def p1_ledger(spark: SparkSession, d: str) -> DataFrame:
     """The whole bitemporal ledger, with what was believed earlier."""
-    made = _ledger_of(spark, d, history=True)
+    made = _ledger_of(spark, d)
     return made.select(*SLOT, "claim_id", "from_us", _ended("to_us"), "recorded_us", _ended("replaced_us"))
 
 
@@ -121,6 +121,19 @@ held AS (SELECT p.partition_key, p.claim_key, p.moment, p.until, c.id, c.v, row_
 runs AS (SELECT *, CASE WHEN lag(until) OVER w = moment AND lag(v) OVER w = v THEN 0 ELSE 1 END AS fresh FROM held WHERE rn = 1 WINDOW w AS (PARTITION BY partition_key, claim_key ORDER BY moment)),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY partition_key, claim_key ORDER BY moment) AS run FROM runs)
 SELECT partition_key, claim_key, min_by(id, moment) AS claim_id, min(moment) AS from_us, CASE WHEN max(until) = 9223372036854775807 THEN -1 ELSE max(until) END AS to_us FROM numbered GROUP BY partition_key, claim_key, run""",
+        "p1_ledger": f"""WITH {_COUNTED},
+lives AS (SELECT c.partition_key, c.claim_key, c.id, c.f, c.t, c.version, c.created, coalesce((SELECT min(o.created) FROM counted o WHERE o.supersedes = c.id AND o.id <> c.id AND o.partition_key = c.partition_key AND o.claim_key = c.claim_key AND o.f = c.f), 9223372036854775807) AS dies FROM counted c),
+ticks AS (SELECT *, lead(tick) OVER (PARTITION BY partition_key, claim_key ORDER BY tick) AS tock, row_number() OVER (PARTITION BY partition_key, claim_key ORDER BY tick) AS k
+  FROM (SELECT partition_key, claim_key, created AS tick FROM lives UNION SELECT partition_key, claim_key, dies FROM lives WHERE dies < 9223372036854775807)),
+parts AS (SELECT *, lead(moment) OVER (PARTITION BY partition_key, claim_key ORDER BY moment) AS until FROM (SELECT partition_key, claim_key, f AS moment FROM lives UNION SELECT partition_key, claim_key, t FROM lives)),
+held AS (SELECT p.partition_key, p.claim_key, k, tick, tock, moment, until, arg_max(id, (f, version, id)) AS id FROM ticks JOIN parts p USING (partition_key, claim_key) JOIN lives c ON c.partition_key = p.partition_key AND c.claim_key = p.claim_key
+  AND c.created <= tick AND tick < c.dies AND c.f <= moment AND moment < c.t WHERE until IS NOT NULL GROUP BY ALL),
+marked AS (SELECT *, CASE WHEN lag(until) OVER w = moment AND lag(id) OVER w = id THEN 0 ELSE 1 END AS fresh FROM held WINDOW w AS (PARTITION BY partition_key, claim_key, k ORDER BY moment)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY partition_key, claim_key, k ORDER BY moment) AS run FROM marked),
+stretches AS (SELECT partition_key, claim_key, k, tick, tock, id, min(moment) AS f, max(until) AS t FROM numbered GROUP BY partition_key, claim_key, k, tick, tock, id, run),
+again AS (SELECT *, k - row_number() OVER (PARTITION BY partition_key, claim_key, id, f, t ORDER BY k) AS island FROM stretches)
+SELECT partition_key, claim_key, id AS claim_id, f AS from_us, CASE WHEN t = 9223372036854775807 THEN -1 ELSE t END AS to_us, min(tick) AS recorded_us, CASE WHEN bool_or(tock IS NULL) THEN -1 ELSE max(tock) END AS replaced_us
+FROM again GROUP BY partition_key, claim_key, id, f, t, island""",
         "p3_found": _LATE + "SELECT id AS event_id, outcome FROM late WHERE outcome <> 'on_time'",
         "p3_hourly": _LATE
         + """SELECT epoch_us(h) AS hour_us, event_type, count(*) FILTER (outcome = 'on_time') AS on_time, count(*) FILTER (outcome = 'corrected') AS corrected,

@@ -58,7 +58,7 @@ def keyset_page(spark: SparkSession, d: str) -> DataFrame:
 def _bitemporal(spark: SparkSession, d: str) -> DataFrame:
     claims = table(spark, d, "claims")
     rows = counted_intervals(claims, micros("created_at").alias("created_us"), "version", "supersedes", "value_json")
-    return ledger(one_per_id(rows, "created_us"), True, find_cuts(counted_intervals(claims), SLOT, ["from_us", "to_us"]))
+    return ledger(one_per_id(rows, "created_us"), find_cuts(counted_intervals(claims), SLOT, ["from_us", "to_us"]))
 
 
 def bitemporal_as_of(spark: SparkSession, d: str) -> DataFrame:
@@ -89,8 +89,8 @@ def interval_materialize(spark: SparkSession, d: str) -> DataFrame:
     """Which claim holds when, whatever its value."""
     claims = table(spark, d, "claims")
     rows = counted_intervals(claims, micros("created_at").alias("created_us"), "version", "supersedes", F.col("id").alias("value_json"))
-    made = ledger(one_per_id(rows, "created_us"), False, find_cuts(counted_intervals(claims), SLOT, ["from_us", "to_us"]))
-    return made.select(*SLOT, "claim_id", "from_us", "to_us")
+    made = ledger(one_per_id(rows, "created_us"), find_cuts(counted_intervals(claims), SLOT, ["from_us", "to_us"]))
+    return made.filter(F.col("replaced_us") == NO_END).select(*SLOT, "claim_id", "from_us", "to_us")
 
 
 def interval_union(spark: SparkSession, d: str) -> DataFrame:

@@ -48,7 +48,7 @@ def believed(claims: list[tuple], moment: int, recorded: int) -> dict[tuple, tup
 @pytest.mark.parametrize(("seed", "hot"), [(1, 10**6), (2, 10**6), (3, 10), (4, 10), (5, 10)])
 def test_ledger_is_what_was_believed(spark, seed, hot):
     claims = some_claims(seed)
-    rows = ledger(spark.createDataFrame(claims, CLAIM), True, hot_rows=hot, shards=5).collect()
+    rows = ledger(spark.createDataFrame(claims, CLAIM), hot_rows=hot, shards=5).collect()
     for recorded in range(-1, 52, 3):
         for moment in range(0, 110, 7):
             want = {k: c[0] for k, c in believed(claims, moment, recorded).items()}
@@ -57,6 +57,43 @@ def test_ledger_is_what_was_believed(spark, seed, hot):
             assert {(r.partition_key, r.claim_key): r.claim_id for r in holds} == want
 
 
+def longest_rows(claims: list[tuple]) -> list[tuple]:
+    """The ledger by brute force over every recorded instant: (slot, claim, from, to, recorded, replaced)."""
+    at = corrections(claims, None)
+    ticks = sorted({c[7] for c in claims} | set(at.values()))
+    rows, open_rows = [], {}
+    for tick in ticks:
+        held = {}
+        for slot in {c[1:3] for c in claims}:
+            stretch = None
+            for m in range(111):
+                c = max((c for c in claims if c[1:3] == slot and c[7] <= tick < at.get(c[0], NO_END) and c[4] <= m < c[5]), key=lambda c: (c[4], -1 if c[6] is None else c[6], c[0]), default=None)
+                if stretch and (c is None or stretch[0] != c[0]):
+                    held[(*slot, stretch[0], stretch[1], m)] = tick
+                    stretch = None
+                if c and not stretch:
+                    stretch = (c[0], m)
+            if stretch:
+                held[(*slot, stretch[0], stretch[1], NO_END)] = tick
+        rows += [(*k, since, tick) for k, since in open_rows.items() if k not in held]
+        open_rows = {k: open_rows.get(k, tick) for k in held}
+    return rows + [(*k, since, NO_END) for k, since in open_rows.items()]
+
+
+@pytest.mark.parametrize("seed", [1, 4, 8])
+def test_ledger_rows_do_not_depend_on_tiles(spark, seed):
+    claims = some_claims(seed, 90)
+    want = sorted(map(repr, longest_rows(claims)))
+    columns = ["partition_key", "claim_key", "claim_id", "from_us", "to_us", "recorded_us", "replaced_us"]
+    runs = []
+    for how in ({"hot_rows": 10**6}, {"hot_rows": 3}, {"hot_rows": 8}, {"hot_rows": 10, "shards": 30}):
+        rows = ledger(spark.createDataFrame(claims, CLAIM), **how)
+        got = [tuple(r) for r in rows.select(*columns, "run_from_us", "run_to_us").collect()]
+        assert sorted(repr(r[:7]) for r in got) == want, how
+        runs.append(sorted(map(repr, got)))
+    assert all(r == runs[0] for r in runs)
+
+
 @pytest.mark.parametrize(("seed", "hot"), [(1, 10**6), (2, 10**6), (3, 10), (6, 10), (7, 20)])
 def test_value_periods(spark, seed, hot):
     claims = some_claims(seed)
@@ -73,9 +110,8 @@ def test_value_periods(spark, seed, hot):
                 start = m
         if value[110] is not None:
             want.append((*slot, held[start][0], start, NO_END))
-    for history in (False, True):
-        got = value_periods(ledger(spark.createDataFrame(claims, CLAIM), history, hot_rows=hot, shards=5)).collect()
-        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    got = value_periods(ledger(spark.createDataFrame(claims, CLAIM), hot_rows=hot, shards=5)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
 @pytest.mark.parametrize(("seed", "hot"), [(1, 10**6), (2, 10), (3, 10), (4, 3)])
