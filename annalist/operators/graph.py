@@ -44,54 +44,103 @@ def reachable(edges: DataFrame, roots: DataFrame, most_depth: int | None = None,
     return seen
 
 
-def chain_rule(facts: DataFrame, left: str, right: str, head: str, most_rounds: int = 8) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, cut_every: int = 16) -> DataFrame:
+    """node, depth: every node that follows from any of the roots (node) along src -> dst, at its least depth, until nothing new is found.
+
+    One search from all roots at once, so a node is kept once, however many roots it follows from. Nodes seen before do
+    not go on, so cycles end; null nodes and edges with a null end lead nowhere. A round joins only what the last one found.
+    """
+    step = written(edges.filter("src IS NOT NULL AND dst IS NOT NULL").select(F.col("src").alias("node"), F.col("dst").alias("_next")).distinct(), "step")
+    frontier = seen = written(roots.select("node").filter("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)), "frontier")
+    depth = 0
+    while True:
+        depth += 1
+        found = frontier.join(step, "node").select(F.col("_next").alias("node")).distinct()
+        frontier = written(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+        if depth % cut_every == 0:
+            seen = written(seen, "seen")
+
+
+def paths(edges: DataFrame, roots: DataFrame, most_depth: int, most_nodes: int | None = None) -> DataFrame:
+    """root, node, depth, path: a shortest path from each root to each node within most_depth steps of it.
+
+    edges: src, predicate, dst. A path alternates nodes and predicates; of the shortest ones it is the one with the least
+    last edge, then the least before it. With most_nodes only so many nodes of a root are kept, nearest first, then by
+    name: the budget of a traversal, taken as its result grows, a feature of the caller's question and not a bound on the data.
+    """
+    step = edges.filter("src IS NOT NULL AND dst IS NOT NULL").select(F.col("src").alias("node"), "predicate", F.col("dst").alias("_next")).distinct()
+    seen = roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0)).withColumn("path", F.array("node"))
+    frontier = seen
+    for depth in range(1, most_depth + 1):
+        found = frontier.join(step, "node").select("root", F.col("_next").alias("_n"), F.struct("node", "predicate", "path").alias("_last"))
+        found = found.groupBy("root", F.col("_n").alias("node")).agg(F.min("_last").alias("_last"))
+        found = found.join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        frontier = found.select("root", "node", F.lit(depth).alias("depth"), F.concat("_last.path", F.array("_last.predicate", "node")).alias("path"))
+        frontier = written(frontier, "frontier")
+        seen = seen.unionByName(frontier)
+        if frontier.limit(1).count() == 0:
+            break
+    if most_nodes is None:
+        return seen
+    nearest = Window.partitionBy("root").orderBy("depth", "node")
+    return seen.withColumn("_k", F.row_number().over(nearest)).filter(F.col("_k") <= most_nodes).drop("_k")
+
+
+def chain_rule(facts: DataFrame, left: str, right: str, head: str) -> DataFrame:
     """left(a, b) and right(b, c) give head(a, c), until nothing new follows; facts: subject, predicate, object, confidence,
     valid_from, valid_to. A derived fact holds where both do, with the lesser confidence; of several derivations of one
-    fact the one that is surest counts, of equals the earliest.
+    fact the one that is surest counts, of equals the earliest. A head that is left or right itself goes on deriving; only
+    facts that are new in a round are joined in the next.
     """
-    known = facts.select("subject", "predicate", "object", "confidence", "valid_from", "valid_to")
-    derived = None
-    fresh = known
-    for _ in range(most_rounds):
-        lefts = (fresh if derived is not None else known).filter(F.col("predicate") == left).alias("l")
-        rights = known.filter(F.col("predicate") == right).alias("r")
-        made = lefts.join(rights, F.col("l.object") == F.col("r.subject"))
-        start, end = F.greatest("l.valid_from", "r.valid_from"), F.least("l.valid_to", "r.valid_to")
-        made = made.select("l.subject", F.lit(head).alias("predicate"), F.col("r.object").alias("object"), F.least("l.confidence", "r.confidence").alias("confidence"), start.alias("valid_from"), end.alias("valid_to"))
+    fact = ["subject", "predicate", "object"]
+    known = written(facts.select(*fact, "confidence", "valid_from", "valid_to"), "known")
+    derived, fresh = None, known
+    while True:
+        made = None
+        for lefts, rights in ((fresh, known), (known, fresh)) if derived is not None else ((known, known),):
+            a, b = lefts.filter(F.col("predicate") == left).alias("l"), rights.filter(F.col("predicate") == right).alias("r")
+            both = a.join(b, F.col("l.object") == F.col("r.subject"))
+            start, end = F.greatest("l.valid_from", "r.valid_from"), F.least("l.valid_to", "r.valid_to")
+            both = both.select("l.subject", F.lit(head).alias("predicate"), F.col("r.object").alias("object"), F.least("l.confidence", "r.confidence").alias("confidence"), start.alias("valid_from"), end.alias("valid_to"))
+            made = both if made is None else made.unionByName(both)
         made = made.filter(F.col("valid_to").isNull() | (F.col("valid_from") < F.col("valid_to")))
-        best = made.groupBy("subject", "predicate", "object").agg(F.min(F.struct((-F.col("confidence")).alias("s"), "valid_from", "valid_to", "confidence")).alias("b"))
-        best = best.select("subject", "predicate", "object", "b.confidence", "b.valid_from", "b.valid_to")
-        fresh = written(best.join(known.select("subject", "predicate", "object"), ["subject", "predicate", "object"], "left_anti"), "derived")
+        best = made.groupBy(*fact).agg(F.min(F.struct((-F.col("confidence")).alias("s"), "valid_from", "valid_to", "confidence")).alias("b"))
+        best = best.select(*fact, "b.confidence", "b.valid_from", "b.valid_to")
+        fresh = written(best.join(known.select(*fact), fact, "left_anti"), "derived")
         if fresh.limit(1).count() == 0:
             break
         derived = fresh if derived is None else derived.unionByName(fresh)
-        known = known.unionByName(fresh)
-        if head != left:
-            break  # nothing derived can be a left side again
+        if head not in (left, right):
+            break  # nothing derived can be a side again
+        known = written(known.unionByName(fresh), "known")
     return derived if derived is not None else known.limit(0)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of an undirected graph of a and b, by alternating large and small stars.
 
-    Each round links every node's greater neighbours to its least neighbour, then its lesser ones; the number of rounds
-    grows with the logarithm of the graph. A node of very many neighbours is one group of an aggregate, not a list.
+    Each round links every node's greater neighbours to its least neighbour, then its lesser ones, until a round changes
+    nothing; the number of rounds grows with the logarithm of the graph. A node of very many neighbours is one group of an
+    aggregate, not a list. Rounds in which no link was changed are told by their count and an order-free digest.
     """
     links = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     alone = edges.select(F.explode(F.array("a", "b")).alias("node")).filter("node IS NOT NULL").distinct()
     links = written(links, "links")
-    size = None
-    for _ in range(most_rounds):
+    before = None
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         links = written(small, "links")
-        now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).collect()[0]
-        if (now.n, now.h) == size:
+        now = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.hash("v", "u"))).collect()[0])
+        if now == before:
             break
-        size = (now.n, now.h)
+        before = now
     return alone.join(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 

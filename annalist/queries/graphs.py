@@ -33,10 +33,10 @@ def graph_neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_bfs_paths(spark: SparkSession, d: str) -> DataFrame:
-    """What lies within three steps of each region, against the direction of the edges."""
-    edges = _edges(spark, d).select(F.col("object").alias("src"), F.col("subject").alias("dst"))
+    """Shortest paths to what lies within three steps of each region, against the direction of the edges: the nearest 200 of each."""
+    edges = _edges(spark, d).select(F.col("object").alias("src"), "predicate", F.col("subject").alias("dst"))
     roots = table(spark, d, "region", "r_regionkey").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
-    return graph.reachable(edges, roots, 3).groupBy("root", "depth").agg(F.count("*").alias("nodes"))
+    return graph.paths(edges, roots, 3, 200).select("root", "node", "depth", F.array_join("path", " ").alias("path"))
 
 
 def graph_reachable_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +108,7 @@ def delta_components(spark: SparkSession, d: str) -> DataFrame:
     """Claims that hang together through the events they come from."""
     links = table(spark, d, "claim_sources").filter("claim_id IS NOT NULL AND event_id IS NOT NULL")
     found = graph.components(links.select(F.concat(F.lit("c:"), "claim_id").alias("a"), F.concat(F.lit("e:"), "event_id").alias("b")))
-    return found.filter("node LIKE 'c:%'").select(F.substring("node", 3, 100).alias("claim_id"), F.substring("component", 3, 100).alias("component"))
+    return found.filter("node LIKE 'c:%'").select(F.expr("substring(node, 3)").alias("claim_id"), F.expr("substring(component, 3)").alias("component"))
 
 
 def invalidation_closure(spark: SparkSession, d: str) -> DataFrame:
@@ -116,8 +116,8 @@ def invalidation_closure(spark: SparkSession, d: str) -> DataFrame:
     claims = table(spark, d, "claims", "id", "supersedes").filter("id IS NOT NULL AND supersedes IS NOT NULL").distinct()
     gone = table(spark, d, "memory_events", "id", "archived_at").filter("archived_at IS NOT NULL").select(F.col("id").alias("event_id")).distinct()
     roots = table(spark, d, "claim_sources").join(gone, "event_id", "left_semi").select(F.col("claim_id").alias("node")).distinct()
-    out = graph.reachable(claims.select(F.col("supersedes").alias("src"), F.col("id").alias("dst")), roots)
-    return out.groupBy("node").agg(F.min("depth").alias("depth")).select(F.col("node").alias("claim_id"), "depth")
+    out = graph.closure(claims.select(F.col("supersedes").alias("src"), F.col("id").alias("dst")), roots)
+    return out.select(F.col("node").alias("claim_id"), "depth")
 
 
 def erase_support_counting(spark: SparkSession, d: str) -> DataFrame:
@@ -252,8 +252,14 @@ UNION ALL SELECT 'n' || n_nationkey, 'part_of', 'r' || n_regionkey FROM nation U
     conflict = f"{_COUNTED}, v AS (SELECT *, coalesce(trim(value_json), '') AS v FROM counted), x AS (SELECT DISTINCT a.partition_key, a.claim_key, a.id, a.f, a.version FROM v a JOIN v b ON a.partition_key = b.partition_key AND a.claim_key = b.claim_key AND a.v <> b.v AND a.f <= b.t AND b.f <= a.t)"
     return {
         "graph_neighbors": f"WITH {edges}, n AS (SELECT 's' || s_suppkey AS node FROM supplier) SELECT node, predicate, object AS neighbour, 'out' AS direction FROM n JOIN e ON node = subject UNION ALL SELECT node, predicate, subject, 'in' FROM n JOIN e ON node = object",
-        "graph_bfs_paths": f"""WITH RECURSIVE {edges}, g(root, node, depth) AS (SELECT 'r' || r_regionkey, 'r' || r_regionkey, 0 FROM region UNION SELECT root, subject, depth + 1 FROM g JOIN e ON node = object WHERE depth < 3)
-SELECT root, depth, count(*) AS nodes FROM (SELECT root, node, min(depth) AS depth FROM g GROUP BY ALL) GROUP BY ALL""",
+        "graph_bfs_paths": f"""WITH {edges}, h AS (SELECT DISTINCT object AS src, predicate, subject AS dst FROM e), l0 AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth, ['r' || r_regionkey] AS path FROM region),
+l1 AS (SELECT root, dst AS node, 1 AS depth, min((l0.node, predicate, path)) AS k FROM l0 JOIN h ON src = l0.node GROUP BY root, dst), p1 AS (SELECT root, node, depth, list_concat(k[3], [k[2], node]) AS path FROM l1 WHERE (root, node) NOT IN (SELECT (root, node) FROM l0)),
+s1 AS (SELECT * FROM l0 UNION ALL SELECT * FROM p1),
+l2 AS (SELECT root, dst AS node, 2 AS depth, min((p1.node, predicate, path)) AS k FROM p1 JOIN h ON src = p1.node GROUP BY root, dst), p2 AS (SELECT root, node, depth, list_concat(k[3], [k[2], node]) AS path FROM l2 WHERE (root, node) NOT IN (SELECT (root, node) FROM s1)),
+s2 AS (SELECT * FROM s1 UNION ALL SELECT * FROM p2),
+l3 AS (SELECT root, dst AS node, 3 AS depth, min((p2.node, predicate, path)) AS k FROM p2 JOIN h ON src = p2.node GROUP BY root, dst), p3 AS (SELECT root, node, depth, list_concat(k[3], [k[2], node]) AS path FROM l3 WHERE (root, node) NOT IN (SELECT (root, node) FROM s2)),
+s3 AS (SELECT * FROM s2 UNION ALL SELECT * FROM p3)
+SELECT root, node, depth, array_to_string(path, ' ') AS path FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS k FROM s3) WHERE k <= 200""",
         "graph_reachable_nodes": f"""WITH RECURSIVE {edges}, g(root, node, depth) AS (SELECT 'c' || c_custkey, 'c' || c_custkey, 0 FROM customer UNION SELECT root, object, depth + 1 FROM g JOIN e ON node = subject WHERE depth < 3 AND predicate <> 'supplied_by') SELECT root, node, min(depth) AS depth FROM g GROUP BY ALL""",
         "chain_rule_inference": f"WITH {edges} SELECT l.subject, r.object, 0.8 AS confidence, CAST(greatest(length(l.subject), length(r.subject)) AS BIGINT) AS valid_from FROM e l JOIN e r ON l.object = r.subject WHERE l.predicate = 'located_in' AND r.predicate = 'part_of'",
         "class_closure_is_a": """WITH RECURSIVE e AS (SELECT DISTINCT p_type AS s, p_brand AS o FROM part UNION SELECT DISTINCT p_brand, substr(p_brand, 1, 7) FROM part), g(child, parent) AS (SELECT s, s FROM e UNION SELECT o, o FROM e UNION SELECT child, o FROM g JOIN e ON parent = s) SELECT child, parent FROM g""",
@@ -269,7 +275,7 @@ SELECT key, old_kinds, new_kinds, CASE WHEN old_kinds IS NULL THEN 'added' WHEN
         "delta_components": """WITH RECURSIVE l AS (SELECT DISTINCT a.claim_id AS a, b.claim_id AS b FROM claim_sources a JOIN claim_sources b USING (event_id)), g(claim_id, component) AS (SELECT a, a FROM l UNION SELECT claim_id, b FROM g JOIN l ON component = a)
 SELECT claim_id, min(component) AS component FROM g GROUP BY claim_id""",
         "invalidation_closure": """WITH RECURSIVE s AS (SELECT DISTINCT id, supersedes FROM claims WHERE supersedes IS NOT NULL), g(claim_id, depth) AS (SELECT DISTINCT claim_id, 0 FROM claim_sources WHERE event_id IN (SELECT id FROM memory_events WHERE archived_at IS NOT NULL)
-UNION SELECT s.id, depth + 1 FROM g JOIN s ON s.supersedes = g.claim_id WHERE depth < 8) SELECT claim_id, min(depth) AS depth FROM g GROUP BY claim_id""",
+UNION SELECT s.id, depth + 1 FROM g JOIN s ON s.supersedes = g.claim_id) SELECT claim_id, min(depth) AS depth FROM g GROUP BY claim_id""",
         "erase_support_counting": """WITH l AS (SELECT DISTINCT claim_id, event_id FROM claim_sources), g AS (SELECT DISTINCT id FROM memory_events WHERE archived_at IS NOT NULL)
 SELECT claim_id, count(*) AS "before", count(*) FILTER (g.id IS NULL) AS "after", count(*) FILTER (g.id IS NULL) = 0 AS dropped FROM l LEFT JOIN g ON event_id = g.id GROUP BY claim_id""",
         "artifact_validity_fixpoint": """WITH RECURSIVE c AS (SELECT DISTINCT id, supersedes FROM claims WHERE id IS NOT NULL), g(id) AS (SELECT id FROM c WHERE supersedes IS NULL UNION SELECT c.id FROM g JOIN c ON c.supersedes = g.id) SELECT id, id IN (SELECT id FROM g) AS valid FROM c""",

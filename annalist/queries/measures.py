@@ -343,7 +343,7 @@ SELECT episode, count(*) AS n, epoch_us(min(occurred_at)) AS first_us, epoch_us(
         "procedure_support": "SELECT l_suppkey AS action, count(*) FILTER (l_returnflag <> 'R') AS support, count(*) FILTER (l_returnflag = 'R') AS against, CASE WHEN count(*) FILTER (l_returnflag <> 'R') < 420 THEN 'too_little_support' WHEN count(*) FILTER (l_returnflag = 'R') > count(*) FILTER (l_returnflag <> 'R') THEN 'mostly_fails' END AS refused FROM lineitem GROUP BY 1",
         "feedback_chain": """WITH p AS (SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER w AS v, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT event_id, event_type, CASE WHEN event_type = 'click' THEN v ELSE c END AS parent FROM p WHERE event_type IN ('click', 'purchase')""",
-        "multi_step_procedures": """WITH e AS (SELECT DISTINCT id, session_id, event_type, occurred_at FROM memory_events WHERE session_id IS NOT NULL), s AS (SELECT session_id, string_agg(event_type, '>' ORDER BY occurred_at, id) AS sequence, count(*) AS n FROM e GROUP BY 1) SELECT sequence, count(*) AS runs FROM s WHERE n BETWEEN 2 AND 6 GROUP BY 1""",
+        "multi_step_procedures": """WITH e AS (SELECT DISTINCT id, session_id, event_type, occurred_at FROM memory_events WHERE session_id IS NOT NULL), s AS (SELECT session_id, string_agg(event_type, '>' ORDER BY occurred_at, id) AS sequence, count(*) AS n FROM e GROUP BY 1) SELECT sequence, count(*) AS runs FROM s WHERE n >= 2 GROUP BY 1""",
         "late_parent_pending": """WITH o AS (SELECT id, min(created_at) AS t, min(supersedes) AS s FROM claims GROUP BY id) SELECT a.id, CASE WHEN b.id IS NULL THEN 'pending' WHEN b.t > a.t THEN 'late' ELSE 'accepted' END AS state FROM o a LEFT JOIN o b ON b.id = a.s WHERE a.s IS NOT NULL""",
         "interval_arithmetic_answers": """WITH l AS (SELECT l_orderkey, min(l_shipdate)::DATE AS lo, max(l_shipdate)::DATE AS hi FROM lineitem GROUP BY 1), r AS (SELECT o_orderkey, o_orderdate::DATE AS day, lo, hi, o_orderdate::DATE + 30 AS lim FROM orders JOIN l ON o_orderkey = l_orderkey)
 SELECT o_orderkey, lo - day AS least_days, hi - day AS most_days, (year(hi) * 12 + month(hi)) - (year(day) * 12 + month(day)) AS months, CASE WHEN hi < lim THEN 'before' WHEN lo > lim THEN 'after' WHEN lo = hi AND lo = lim THEN 'same' END AS against_limit, date_trunc('month', lo) = lo AND last_day(lo) = hi AS full_month FROM r""",

@@ -193,6 +193,31 @@ def test_components(spark, seed):
     assert got == want
 
 
+def test_closure_has_no_bound(spark):
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(60)] + [("n60", "n50"), ("x", None), (None, "y"), ("m0", "n30")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    got = {r.node: r.depth for r in graph.closure(df, spark.createDataFrame([("n0",), ("m0",), (None,)], "node string"), cut_every=7).collect()}
+    want = {f"n{i}": i for i in range(30)} | {f"n{30 + i}": 1 + i for i in range(31)} | {"m0": 0}
+    assert got == want
+    assert graph.closure(df, df.selectExpr("src AS node").limit(0)).count() == 0
+
+
+def test_paths_and_budget(spark):
+    edges = [("r", "p", "a"), ("r", "q", "a"), ("r", "p", "b"), ("a", "p", "c"), ("b", "p", "c"), ("c", "p", "r"), ("c", "p", "d")]
+    df = spark.createDataFrame(edges, "src string, predicate string, dst string")
+    root = spark.createDataFrame([("r",)], "node string")
+    got = {r.node: (r.depth, " ".join(r.path)) for r in graph.paths(df, root, 3).collect()}
+    assert got == {"r": (0, "r"), "a": (1, "r p a"), "b": (1, "r p b"), "c": (2, "r p a p c"), "d": (3, "r p a p c p d")}
+    assert sorted(r.node for r in graph.paths(df, root, 3, most_nodes=3).collect()) == ["a", "b", "r"]
+
+
+def test_chain_rule_goes_on(spark):
+    facts = [(f"n{i}", "under", f"n{i + 1}", 0.9, i, None) for i in range(12)]
+    df = spark.createDataFrame(facts, "subject string, predicate string, object string, confidence double, valid_from bigint, valid_to bigint")
+    got = {(r.subject, r.object): r.valid_from for r in graph.chain_rule(df, "under", "under", "under").collect()}
+    assert got == {(f"n{i}", f"n{j}"): j - 1 for i in range(13) for j in range(i + 2, 13)}
+
+
 def test_contradictions(spark):
     r = random.Random(5)
     facts = [(r.choice("kl"), f"f{i:02}", r.choice("uvw"), a := r.randrange(40), a + r.randrange(0, 9)) for i in range(60)]
