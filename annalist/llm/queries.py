@@ -51,12 +51,12 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_uses(spark: SparkSession, d: str) -> DataFrame:
     """How often each document is used in each mix."""
-    return mix_documents(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"))[0]
+    return mix_documents(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets")).uses
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Wanted against actual share of each source in each mix."""
-    return shares(*mix_documents(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets")))
+    """Wanted against actual and expected share of each source in each mix."""
+    return shares(mix_documents(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets")))
 
 
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -64,8 +64,19 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "container_specs"))
 
 
+def p9_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Per container spec, how many overlaps there are, how many are exact, and the fewest tokens shared.
+
+    The others are those that no beginning between two characters makes exact, or whose piece before is shorter.
+    """
+    specs = table(spark, d, "container_specs", "spec", F.least("overlap_tokens", F.floor(F.col("capacity_tokens") / 2)).cast("bigint").alias("overlap_tokens"))
+    own = p9_pieces(spark, d).filter("piece_no > 1").join(F.broadcast(specs), "spec")
+    exact = F.col("shared_tokens") == F.col("overlap_tokens")
+    return own.groupBy("spec", "overlap_tokens").agg(F.count("*").alias("overlaps"), F.count_if(exact).alias("exact"), F.min("shared_tokens").alias("least_tokens"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p6_found, p6_masked, p7_containers, p8_uses, p8_shares, p9_pieces)}
+    return {f.__name__: f for f in (p2_found, p6_found, p6_masked, p7_containers, p8_uses, p8_shares, p9_pieces, p9_overlaps)}
 
 
 def _role_sql() -> str:

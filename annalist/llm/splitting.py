@@ -8,10 +8,11 @@ from heapq import heapify, heappop
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.tokens import default_vocabulary, encoder
+from annalist.llm.tokens import SPLIT, default_vocabulary, encoder
 
 # White space as the tokenizer's split pattern sees it, and the part of it that ends lines (fixed values).
 _NL = "\n\r\v\f\x85\u2028\u2029"
@@ -24,6 +25,11 @@ _LATIN_MARK = re.compile(r"[^。！？；]*$")
 _BLANKS = frozenset(_WS)
 _BLANK = re.compile(rf"(?<=[^{_WS}])(?=[{_WS}])")
 INSIDE, WORD, SENTENCE, LINE, PARAGRAPH, HEADING = range(6)
+_MATCH = regex.compile(SPLIT)
+#: Tokens of room left in the parts of a word that is cut, as a cut within a word changes the tokens beside it.
+JOIN = 8
+#: How many tokens more than a word the rest of it may have.
+SURPLUS = 3
 
 
 def segments(text: str) -> list[tuple[int, int]]:
@@ -111,8 +117,8 @@ class Splitter:
     def atoms(self, text: str) -> Atoms:
         return Atoms(text, self.bpe.encode_ordinary(text), self.width)
 
-    def _refined(self, atoms: Atoms, limit: int) -> tuple[list[int], list[int], list[int]]:
-        """Starts (and the end), strengths and tokens before the segments, those over the limit cut at blanks or within."""
+    def _refined(self, atoms: Atoms, limit: int, within: int) -> tuple[list[int], list[int], list[int]]:
+        """Starts (and the end), strengths and tokens before the segments, those over the limit cut at blanks, or to ``within`` tokens inside words."""
         counts = np.diff(atoms.upto)
         if not len(counts) or counts.max() <= limit:
             return atoms.starts, atoms.strengths, atoms.upto
@@ -135,7 +141,7 @@ class Splitter:
                 if n <= limit:
                     add(x, s, n)
                     continue
-                for cut, n in self._within(atoms, x, y, limit):
+                for cut, n in self._within(atoms, x, y, within):
                     add(x, s, n)
                     x, s = cut, INSIDE
         return [*starts, len(text)], strengths, upto
@@ -164,7 +170,7 @@ class Splitter:
         overlap = min(overlap, capacity // 2)
         limit = capacity - overlap
         text = atoms.text
-        starts, strengths, upto = self._refined(atoms, max(1, limit - 8 if overlap else limit))
+        starts, strengths, upto = self._refined(atoms, limit, max(1, limit - JOIN if overlap else limit))
         n = len(strengths)
         first, last = list(range(n)), list(range(n))  # of the group that ends, or begins, here
         heap = [strengths[k] << 32 | k for k in range(1, n) if strengths[k] > INSIDE]
@@ -196,30 +202,65 @@ class Splitter:
     def _share(self, atoms: Atoms, starts: list[int], upto: list[int], strengths: list[int], a: int, overlap: int, floor: int) -> tuple[int, int]:
         """Where to begin so that overlap tokens before segment a are shared, and how many they are.
 
-        Exactly overlap where a beginning near that gives it, else the most below it; never more than the piece before has.
+        Exactly overlap wherever a beginning between two characters gives it, else the most below it; never more than the
+        piece before has.
         """
         j = a
-        while j > 0 and starts[j - 1] >= floor and upto[a] - upto[j - 1] <= overlap and strengths[j] > INSIDE:
+        while j > 0 and starts[j] > floor and upto[a] - upto[j] < overlap:
+            if strengths[j] == INSIDE:
+                return self._counted(atoms, floor, starts[a], overlap)
             j -= 1
-        shared = upto[a] - upto[j]
-        want = overlap - shared
-        if want <= 0 or j == 0 or starts[j] <= floor or strengths[j] == INSIDE and j < a:
-            return starts[j], shared
-        text, y = atoms.text, starts[j]
-        x = max(starts[j - 1], floor)
-        if strengths[j] == INSIDE or strengths[j - 1] == INSIDE:
-            begin = y - sum(1 for _ in self.bpe.decode(self.bpe.encode_ordinary(text[x:y])[-want:], "ignore"))
-        else:
-            begin, exact = atoms.begin_of(int(atoms.tokens_before([y])[0]) - want)
-            if exact and x < begin < y and text[begin] in _BLANKS and text[begin - 1] not in _BLANKS:
-                return begin, overlap  # the tokenizer begins a match here: nothing to count
+        return self._matched(atoms, floor, starts[a], overlap)
+
+    def _matched(self, atoms: Atoms, x: int, y: int, want: int) -> tuple[int, int]:
+        """Where in [x, y] to begin so that want tokens are left to y, which is where the tokenizer begins a match; and how many.
+
+        The tokens of the text say in which match that is. Where its tokens begin is no help within it, since what is left of it
+        is split anew; so its positions are tried one by one. Before it every position has too many. After it one can
+        still do, where what is left of a word has more tokens than the word: by SURPLUS at most, so far as is tried.
+        """
+        text = atoms.text
+        least, token = atoms.tokens_before([x, y]).tolist()
+        token -= want
+        if token <= least and (n := self.count(text[x:y])) <= want:
+            return x, n
+        begin, exact = atoms.begin_of(max(0, token))
         begin = max(x, begin)
-        for at in (begin, begin + 1, begin - 1, begin + 2, begin - 2, begin + 3):
-            if x <= at < y and self.count(text[at:y]) == want:
-                return at, overlap
-        while begin < y and self.count(text[begin:y]) > want:
-            begin += 1
-        return begin, shared + (self.count(text[begin:y]) if begin < y else 0)
+        if exact and begin > x and text[begin] in _BLANKS and text[begin - 1] not in _BLANKS:
+            return begin, want  # the tokenizer begins a match here: nothing to count
+        at = begin
+        while at > x and not (text[at] in _BLANKS and text[at - 1] not in _BLANKS):
+            at -= 1
+        best, most = y, 0
+        rest = None
+        for m in _MATCH.finditer(text, at, y):
+            lo, hi = m.span()
+            if hi <= begin:
+                continue
+            own = self.count(m[0])
+            rest = self.count(text[hi:y]) if rest is None else rest - own
+            if want - rest - own > SURPLUS:
+                break
+            for at in range(max(x, lo), hi):
+                n = self.count(text[at:hi]) + rest
+                if most < n <= want and self.count(text[at:y]) == n:
+                    best, most = at, n
+                    if n == want:
+                        return best, most
+        return best, most
+
+    def _counted(self, atoms: Atoms, x: int, y: int, want: int) -> tuple[int, int]:
+        """As _matched, where y or what is before it lies within a word, so that tokens have to be counted."""
+        text = atoms.text
+        at = max(x, atoms.begin_of(max(0, int(atoms.tokens_before([y])[0]) - want))[0])
+        n = self.count(text[at:y])
+        while n < want and at > x:
+            at -= 1
+            n = self.count(text[at:y])
+        while n > want and at < y:
+            at += 1
+            n = self.count(text[at:y])
+        return at, n
 
 
 _FIELDS = [("spec", pa.string()), ("piece_no", pa.int64()), ("from_char", pa.int64()), ("own_char", pa.int64()), ("to_char", pa.int64()), ("tokens", pa.int64()), ("shared_tokens", pa.int64()), ("piece", pa.string())]
@@ -230,7 +271,7 @@ def split_texts(texts: DataFrame, specs: DataFrame, key: str = "doc_id", text: s
 
     Pieces are in order and cover the whole text: piece k adds text[own_char:to_char] and begins shared_tokens earlier, at
     from_char, within the piece before. No piece has more tokens than the capacity; shared_tokens is overlap_tokens, or
-    less where the piece before has no more or no beginning gives exactly as many (a character of several tokens). Cuts
+    less where the piece before has no more or no beginning between two characters gives exactly as many. Cuts
     are at headings, paragraphs, lines or sentences, at blanks only in sentences over the limit, within words only in
     words over it. A single character of more tokens than the capacity is a piece of its own.
 

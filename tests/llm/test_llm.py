@@ -221,13 +221,35 @@ def test_mixing(spark):
     rows += [(9001, None, "alpha", "z"), (9002, "other", "beta", "z"), (9003, "a", "", "z"), (9004, "a", None, "z"), (None, "a", "beta", "z")]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, mix string")
     targets = spark.createDataFrame([("m", "a", 2.0, 1), ("m", "B ", 1.0, 3), ("m", "c", 1.0, 2), ("n", "a", 1.0, 1), ("n", "b", None, 5), ("n", "gone", 1.0, 2), ("n", "c", 3.0, 4)], "mix string, source string, target_weight double, max_repeats int")
-    used, read = mix_documents(docs, targets)
-    table = used.cache().collect()
+    mix = mix_documents(docs, targets)
+    table = mix.uses.cache().collect()
     limit = {("m", "a"): 1, ("m", "b"): 3, ("m", "c"): 2, ("n", "a"): 1, ("n", "c"): 4}
     assert all(0 < u.uses <= limit[u.mix, u.source] for u in table) and len({(u.mix, u.doc_id) for u in table}) == len(table)
-    got = {(x.mix, x.source): x for x in shares(used, read).collect()}
+    got = {(x.mix, x.source): x for x in shares(mix).collect()}
     for key, want in {("m", "a"): 0.5, ("m", "b"): 0.25, ("m", "c"): 0.25, ("n", "a"): 0.25, ("n", "c"): 0.75, ("n", "gone"): 0, ("n", "b"): 0}.items():
-        assert abs(got[key].actual_share - want) < 0.03, (key, got[key])
+        assert abs(got[key].actual_share - want) < 0.01, (key, got[key])
+        assert abs(got[key].expected_share - want) < 0.02, (key, got[key])
+    assert any(u.doc_id == 9001 and u.source == "a" for u in table) and not any(u.doc_id == 9002 for u in table)  # without a source: by its text
+    for parts in (1, 7):
+        assert sorted(map(tuple, mix_documents(docs.repartition(parts), targets).uses.collect())) == sorted(map(tuple, table))
     assert got["n", "b"].wanted_share is None and got["n", "gone"].wanted_share == 0.2
-    nothing, read = mix_documents(docs.limit(0), targets)
-    assert nothing.count() == 0 and shares(nothing, read).count() == 7
+    nothing = mix_documents(docs.limit(0), targets)
+    assert nothing.uses.count() == 0 and shares(nothing).count() == 7
+
+
+def test_overlaps_are_exact_where_a_beginning_makes_them_so():
+    r = random.Random(9)
+    splitter = Splitter(default_vocabulary())
+    words = "retrieval isn't unbelievably counterrevolutionary they're überraschend 3.14159 检索延迟依然稳定 记住 naïve --- 😀😀 l'été".split()
+    short = 0
+    for _ in range(25):
+        text = "".join(r.choice(words) + r.choice([" ", " ", "  ", "。", ". ", "\n", "\n\n", ""]) for _ in range(260))
+        atoms = splitter.atoms(text).cut()
+        for capacity, overlap in ((40, 7), (64, 16), (90, 45)):
+            pieces = splitter.split(atoms, capacity, overlap)
+            for before, (begin, own, to, tokens, shared) in zip(pieces, pieces[1:]):
+                assert splitter.count(text[begin:to]) == tokens <= capacity and splitter.count(text[begin:own]) == shared
+                if shared != overlap:
+                    short += 1
+                    assert all(splitter.count(text[b:own]) != overlap for b in range(before[0], own)), (text[begin:own], shared)
+    assert short
