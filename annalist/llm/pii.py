@@ -20,62 +20,152 @@ from pyspark.sql import functions as F
 KINDS = ("email", "id_number", "phone", "address", "name")
 #: A lexicon of more terms than this is refused, as it is sent to every task.
 MOST_TERMS = 100_000
+#: Texts of at most so many characters are remembered with their mentions.
+SHORT = 500
 
 # Letters that look like Latin ones, and what they look like.
 _LOOKALIKE = dict(zip("АВЕЅІЈКМНОРСТУХаеіјорсухѕԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧονіıɡ", "ABESIJKMHOPCTYXaeijopcyxsdhqwABEZHIKMNOPTYXoving"[:47], strict=False))
 _LOOKALIKE.update({"ı": "i", "ɡ": "g", "і": "i", "ο": "o", "ν": "v"})
+# Letters that look like Latin ones less closely; they count as such in words that have Latin letters too.
+_IN_MIXED_WORDS = {
+    ord(pair[0]): pair[1]
+    for pair in (
+        "вb гr дd зz иu йu кk лn мm нh пn тt цu чy ьb ёe їi ґr ѵv ӏl "
+        "αa βb γy δd εe ζz ηn θo ιi κk λl μu πn ρp σo ςs τt υu φo χx ψy ωw "
+        "օo սu ոn հh ցg զq յj ɑa ɩi ɪi ʏy ʀr ɴn ʟl ʜh ɢg ʙb ᴀa ᴄc ᴅd ᴇe ᴊj ᴋk ᴍm ᴏo ᴘp ᴛt ᴜu ᴠv ᴡw ᴢz"
+    ).split()
+}
 # Dashes, blanks and signs written in other ways, and characters that cannot be seen.
-_SIGNS = {**dict.fromkeys("‐‑‒–—−﹣", "-"), **dict.fromkeys("              ", " "), "’": "'", "‘": "'", "﹫": "@", "．": ".", "｡": "."}
+_SIGNS = {**dict.fromkeys("‐‑‒–—−﹣", "-"), **dict.fromkeys("              ", " "), "’": "'", "‘": "'", "﹫": "@", "．": ".", "｡": "."}
 _UNSEEN = "­​‌‍‎‏⁠⁡⁢⁣﻿᠎͏"
-# Words for digits.
+# Words for digits, and for saying one twice or three times.
 _DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
 }
+_TIMES = {"double": 2, "triple": 3, "treble": 3, "doppelt": 2, "zweimal": 2, "dreimal": 3}
 _HAN_DIGITS = dict(zip("零〇幺一二三四五六七八九", "001123456789", strict=True))
-# Words for the signs of an address.
+# Words for the signs of an address. The last list has those that can stand without brackets.
 _AT_WORDS = "at|ät|arobase|klammeraffe|chez|艾特"
 _DOT_WORDS = "dot|punkt|point|点"
+_BARE_AT = "at|ät|arobase|klammeraffe"
 
 
-def _one_to_one() -> dict[int, str]:
-    table = {ord(k): v for k, v in {**_LOOKALIKE, **_SIGNS}.items()}
-    for code in [*range(0xFF01, 0xFF5F), 0x3000]:  # full-width forms
-        table.setdefault(code, unicodedata.normalize("NFKC", chr(code)))
-    return table
+class _Fold(dict):
+    """Each character as the one it stands for: compatibility forms, digits of any script, look-alikes, signs.
+
+    One for one, so that positions stay what they are. Superscripts and subscripts are left, as they aren't part of a number.
+    """
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        out = _LOOKALIKE.get(ch) or _SIGNS.get(ch)
+        if out is None:
+            out = ch
+            raised = unicodedata.decomposition(ch).startswith(("<super>", "<sub>"))
+            digit = unicodedata.digit(ch, None)
+            plain = unicodedata.normalize("NFKC", ch)
+            if digit is not None and not raised:
+                out = str(digit)
+            elif len(plain) == 1 and plain.isascii() and not raised:
+                out = plain
+        self[code] = out
+        return out
 
 
-_FOLD = _one_to_one()
+_FOLD = _Fold()
 _HAS_UNSEEN = re.compile(f"[{_UNSEEN}]").search
-_WORD_RUN = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(_DIGIT_WORDS)})(?:[\s,.-]+(?:{'|'.join(_DIGIT_WORDS)})){{5,}}(?![^\W\d_])", re.I)
-_HAN_RUN = re.compile(f"[{''.join(_HAN_DIGITS)}]{{7,}}")
+_LIGATURE = re.compile("[ﬀ-ﬄ]")
+_HAS_MIXED = re.compile(f"[{''.join(map(chr, _IN_MIXED_WORDS))}]").search
+_TOKEN = re.compile(r"[^\s,;:()<>\[\]]+")
+_HAS_LATIN = re.compile("[A-Za-z]").search
+_A_DIGIT_WORD = rf"(?<![^\W\d_])(?:{'|'.join(_DIGIT_WORDS)})(?![^\W\d_])"
+_SPOKEN = rf"(?:(?<![^\W\d_])(?:{'|'.join(_TIMES)})[\s-]+)?{_A_DIGIT_WORD}"
+_WORD_RUN = re.compile(rf"(?:{_SPOKEN}|(?<![\w.])\d{{1,4}}(?=[\s,.-]+(?:{_SPOKEN}|\d{{1,4}}[\s,.-]+{_SPOKEN})))(?:[\s,.-]+(?:{_SPOKEN}|\d{{1,5}}(?![\w])))+", re.I)
+_SPOKEN_ITEM = re.compile(rf"(?:({'|'.join(_TIMES)})[\s-]+)?({'|'.join(_DIGIT_WORDS)}|\d+)", re.I)
+_HAN_RUN = re.compile(f"(?:[{''.join(_HAN_DIGITS)}][ -]?|[0-9](?=[0-9 -]*[{''.join(_HAN_DIGITS)}])|(?<=[{''.join(_HAN_DIGITS)}])[0-9]+[ -]?){{7,}}")
 _BRACKETED = re.compile(rf"\s*[(\[{{<]\s*(?:({_AT_WORDS})|({_DOT_WORDS}))\s*[)\]}}>]\s*", re.I)
-_SPELLED_ADDRESS = re.compile(rf"[A-Za-z0-9][\w.+-]*\s+(?:at|ät|arobase|klammeraffe)\s+[A-Za-z0-9-]+(?:\s+(?:{_DOT_WORDS})\s+[A-Za-z0-9-]+)+(?![A-Za-z0-9-])", re.I)
-_SPELLED_SIGN = re.compile(rf"\s+(?:(at|ät|arobase|klammeraffe)|({_DOT_WORDS}))\s+", re.I)
+_AT = rf"\s*[(\[{{<]\s*(?:{_AT_WORDS}|@)\s*[)\]}}>]\s*|\s+(?:{_BARE_AT})\s+|\s*艾特\s*|\s*@\s*"
+_DOT = rf"\s*[(\[{{<]\s*(?:{_DOT_WORDS}|\.)\s*[)\]}}>]\s*|\s+(?:dot|punkt|point)\s+|\s*点\s*|\."
+_ADDRESS_LIKE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9_%+-]*(?:(?:{_DOT})[A-Za-z0-9_%+-]+)*?({_AT})[A-Za-z0-9-]+((?:(?:{_DOT})[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.I)
+_A_DOT = re.compile(_DOT, re.I)
+_MAY_BE_AT = re.compile(rf"@|艾特|\b(?:{_BARE_AT}|chez)\b", re.I).search
+# What is said before an address that is spelled with nothing but "at".
+_OF_AN_ADDRESS = re.compile(r"(?:e-?mails?|mailbox|mail|write|reach|contact|courriel|adresse|écri\w+|schreib\w*|kontakt\w*|邮箱|邮件)(?:[\s:：=,-]|\b(?:address|is|to|the|my|lautet|an|ist|à|est|mon|meine)\b|是|地址)*$", re.I)
+# Words that are no mailbox, though they stand before "at".
+_NO_MAILBOX = frozenset("me us you him her it them this that here there am is are was were be been look arrive meet call now again available".split())
+
+
+def _asked_for(text: str, m: re.Match) -> bool:
+    """Whether something before an address that is spelled with a bare "at" speaks of one, and it doesn't go on as another."""
+    if text[m.start() : m.start(1)].lower() in _NO_MAILBOX or re.match(rf"[\w.+-]*(?:{_AT})", text[m.end() :], re.I):
+        return False
+    return bool(_OF_AN_ADDRESS.search(text[max(0, m.start() - 40) : m.start()]))
+
+
+def _spelled_signs(text: str) -> Iterator[tuple[int, int, str]]:
+    """The spelled or bracketed signs of what reads like an e-mail address.
+
+    Signs may be disguised each in its own way. An address whose dots are plain goes no further than these; one whose only
+    disguise is a bare "at" or a blank beside the sign counts where something speaks of an address before it.
+    """
+    for m in _ADDRESS_LIKE.finditer(text):
+        at, start = m[1], m.start(1)
+        dots = list(_A_DOT.finditer(text, m.start(2), m.end()))
+        plain = dots[0][0] == "."
+        if plain and (at == "@" or not re.search(r"[(\[{<艾]", at) and not _asked_for(text, m)):
+            continue
+        last = text[dots[-1].end() : m.end()]
+        if plain:
+            dots = list(dict.fromkeys(dots[: next((k for k, x in enumerate(dots) if x[0] != "."), len(dots))]))
+            last = text[dots[-1].end() : m.end()]
+            last = re.match("[A-Za-z0-9-]*", last)[0]
+        if not re.fullmatch("[A-Za-z]{2,}", last):
+            continue
+        if at != "@":
+            yield start, m.end(1), "@"
+        for x in [*_A_DOT.finditer(text, m.start(), start), *dots]:
+            if x[0] != ".":
+                yield *x.span(), "."
+
+
+def _spoken_digits(text: str) -> Iterator[tuple[int, int, str]]:
+    """Numbers that are said in words, or in words and digits: six words or more, or seven digits of which two are said."""
+    for m in _WORD_RUN.finditer(text):
+        items = list(_SPOKEN_ITEM.finditer(m[0]))
+        digits = [_DIGIT_WORDS.get(i[2].lower(), i[2]) * _TIMES.get((i[1] or "").lower(), 1) for i in items]
+        said = sum(not i[2].isdigit() for i in items)
+        if said < 2 or sum(map(len, digits)) < (6 if said == len(items) else 7):
+            continue
+        end = 0
+        for i, new in zip(items, digits, strict=True):
+            if i.start() > end:
+                yield m.start() + end, m.start() + i.start(), ""
+            if not i[2].isdigit():
+                yield m.start() + i.start(), m.start() + i.end(), new
+            end = i.end()
 
 
 def normal_form(text: str) -> tuple[str, list[tuple[int, int]] | None]:
     """The text without disguises, and for each of its characters the source span it stands for (None: the same)."""
-    folded = text if text.isascii() else text.translate(_FOLD)
     edits: list[tuple[int, int, str]] = []
-    if not folded.isascii():
+    folded = text
+    if not text.isascii():
+        folded = text.translate(_FOLD)
+        if _HAS_MIXED(folded):
+            folded = _TOKEN.sub(lambda m: m[0].translate(_IN_MIXED_WORDS) if not m[0].isascii() and _HAS_LATIN(m[0]) else m[0], folded)
         if _HAS_UNSEEN(folded):
             edits += [(i, i + 1, "") for i, ch in enumerate(folded) if ch in _UNSEEN]
+        edits += [(m.start(), m.end(), unicodedata.normalize("NFKC", m[0])) for m in _LIGATURE.finditer(folded)]
         for m in _HAN_RUN.finditer(folded):
-            edits += [(i, i + 1, _HAN_DIGITS[folded[i]]) for i in range(*m.span())]
+            if sum(ch in _HAN_DIGITS for ch in m[0]) >= 3:
+                edits += [(i, i + 1, _HAN_DIGITS[folded[i]]) for i in range(*m.span()) if folded[i] in _HAN_DIGITS]
     if "(" in folded or "[" in folded or "{" in folded or "<" in folded:
         edits += [(*m.span(), "@" if m[1] else ".") for m in _BRACKETED.finditer(folded)]
-    lower = folded.lower()
-    if " dot " in lower or " punkt " in lower or " point " in lower:
-        for m in _SPELLED_ADDRESS.finditer(folded):
-            edits += [(*s.span(), "@" if s[1] else ".") for s in _SPELLED_SIGN.finditer(folded, *m.span())]
-    if any(w in lower for w in ("five", "three", "fünf", "drei", "cinq", "trois", "zero", "null", "zéro", "two", "zwei", "deux")):
-        for m in _WORD_RUN.finditer(folded):
-            at = m.start()
-            for w in re.split(r"([\s,.-]+)", m[0]):
-                edits.append((at, at + len(w), _DIGIT_WORDS.get(w.lower(), "")))
-                at += len(w)
+    if _MAY_BE_AT(folded):
+        edits += _spelled_signs(folded)
+    edits += _spoken_digits(folded)
     if not edits:
         return folded, None
     out: list[str] = []
@@ -88,7 +178,7 @@ def normal_form(text: str) -> tuple[str, list[tuple[int, int]] | None]:
         spans += [(i, i + 1) for i in range(at, a)]
         if new:
             out.append(new)
-            spans.append((a, b))
+            spans += [(a, b)] * len(new)
         at = b
     out.append(folded[at:])
     spans += [(i, i + 1) for i in range(at, len(folded))]
@@ -124,31 +214,42 @@ _OF_A_PHONE = re.compile(r"(?<![A-Za-z])(?:tel|tél|phone|telephone|telefon|tél
 # Kinds of streets.
 _EN_STREETS = "street|st|road|rd|lane|ln|close|way|avenue|ave|drive|dr|court|ct|terrace|row|place|pl|square|sq|crescent|boulevard|blvd|gardens|mews|walk|hill|grove|parade|highway|parkway"
 _FR_STREETS = "rue|avenue|av|boulevard|bd|impasse|place|chemin|allée|allées|quai|route|cours|passage|square|sentier|ruelle"
+_ES_STREETS = "calle|avenida|avda\\.|plaza|paseo|camino|via|viale|piazza|corso|rua|travessa|praça"
 _ADDRESS = re.compile(
     r"(?<![\w-])(?:"
-    rf"(?:(?:[Ff]lat|[Aa]pt\.?|[Aa]partment|[Uu]nit|[Ss]uite|FLAT) \d+[A-Za-z]?, )?\d{{1,5}}[A-Za-z]?,? (?:[A-ZÀ-Þ][\w'’-]* ){{1,4}}(?i:{_EN_STREETS})(?![\w'’-])(?:(?<=Rd|St|Ln|Dr|Ct|Pl|Sq)\.|(?<=Ave)\.)?(?:, [A-ZÀ-Þ][\w'’-]+(?: \d{{4,6}})?)?"
+    rf"(?:(?:[Ff]lat|[Aa]pt\.?|[Aa]partment|[Uu]nit|[Ss]uite|FLAT) \d+[A-Za-z]?, )?\d{{1,5}}[A-Za-z]?,? (?:[A-ZÀ-Þ][\w'’-]* ){{1,4}}(?i:{_EN_STREETS})(?![\w'’-])(?:(?<=Rd|St|Ln|Dr|Ct|Pl|Sq)\.|(?<=Ave)\.)?(?:, [A-ZÀ-Þ][\w'’-]+(?: [A-Z]{{1,2}}\d[A-Z\d]? \d[A-Z]{{2}}(?!\w)|,? [A-Z]{{2}} \d{{5}}(?:-\d{{4}})?(?!\w)| \d{{4,6}})?)?"
+    rf"|\b(?i:{_ES_STREETS}) (?:(?i:de las|de los|de la|della|dei|del|de|da|do|di) )?(?:[A-ZÀ-Þ][\w'’-]* ?){{1,3}}(?:,| n[.º°]?)? ?\d{{1,4}}(?!\w)(?:, (?:\d{{4,5}} )?[A-ZÀ-Þ][\w'’-]+)?"
     rf"|\d{{1,4}}(?: ?(?i:bis|ter|quater))?,? (?i:{_FR_STREETS})\.? (?:(?i:de la|de l'|du|des|de|d'|l'|la|le|les) ?)?[A-ZÀ-Þ][\w'’-]*(?: (?!\d)[A-ZÀ-Þ][\w'’-]+)?(?:, (?:\d{{5}} )?[A-ZÀ-Þ][\w'’-]+)?"
     r"|(?:(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den|Alter?|Neue?r?) )?[A-ZÄÖÜ][a-zäöüß-]*(?i:straße|strasse|str\.|weg|platz|gasse|allee|ufer|damm|ring|steig|stieg)(?:\s?\d{1,4} ?[a-z]?)(?!\w)(?:, \d{5} [A-ZÄÖÜ][\w-]+)?"
     r"|[A-ZÄÖÜ][a-zäöüß]+(?:er)? (?:Straße|Strasse|Str\.|Weg|Platz|Gasse|Allee|Ufer|Damm|Ring) \d{1,4} ?[a-z]?(?!\w)(?:, \d{5} [A-ZÄÖÜ][\w-]+)?"
     r")"
     r"|(?:(?![在到往于是])[一-鿿]{2,3}[市省])?(?:[一-鿿]{2}[区县])?[一-鿿]{2}(?:大道|胡同|路|街|巷|弄堂)\d{1,5}(?:弄\d+)?号(?:\d+(?:栋|幢|单元|号楼|楼|室|层|座))*",
 )
-_HAS_STREET = re.compile(rf"(?i:{_EN_STREETS}|{_FR_STREETS}|stra(?:ß|ss)e|str\.|weg|platz|gasse|allee|ufer|damm|ring|ste?ieg|steig)(?![a-zà-ÿ])|[路街巷道同]\d")
+_HAS_STREET = re.compile(rf"(?i:{_EN_STREETS}|{_FR_STREETS}|{_ES_STREETS}|stra(?:ß|ss)e|str\.|weg|platz|gasse|allee|ufer|damm|ring|ste?ieg|steig)(?![a-zà-ÿ])|[路街巷道同堂]\d")
 
 # Titles, before a name or after one.
 _TITLES = frozenset("dr mr mrs ms miss prof professor sir madam herr frau mme mlle monsieur madame fr hr dipl-ing".split())
 _WORD = re.compile(r"[A-ZÀ-Þ][A-Za-zÀ-ÿ'-]*\.?|[a-zà-ÿ]+")
 _CAPITAL = re.compile(r"(?<![A-Za-zÀ-ÿ0-9@_./-])[A-ZÀ-Þ](?:[A-Za-zÀ-ÿ]*(?:['-][A-ZÀ-Þ][A-Za-zÀ-ÿ]+)*)(?![A-Za-zÀ-ÿ0-9_@])")
-# Phrases a person's name follows, in whatever parts (fixed values).
-_INTRODUCED = re.compile(r"(?:[Mm]y name is|[Ii]ch heiße|[Jj]e m'appelle|[Ss]igned,|[Mm]it Gruß,|[Cc]ordialement,|[Aa]ssigned to|[Zz]uständig bleibt|[Dd]emandez à|[Pp]révenez|[Nn]ote came from|我叫|负责人[:：]|请联系|昨天) ?$")
+# What a person's name follows, in whatever parts: someone introduces themselves, signs, is asked for, or has a task.
+_INTRODUCED = re.compile(
+    r"(?:(?:[Mm]y|[Hh]is|[Hh]er|[Tt]heir) name is|I am|I'm|[Mm]ein Name ist|[Ii]ch hei(?:ß|ss)e|[Ii]ch bin|[Jj]e m'appelle|[Jj]e suis|[Mm]on nom est"
+    r"|[Ss]igned,|(?:[Rr]egards|[Ss]incerely|[Cc]heers|[Yy]ours|Gr(?:uß|üße|üßen)|[Cc]ordialement|[Ss]alutations),"
+    r"|(?:[Aa]ssigned|[Hh]anded|[Ee]scalated) to|[Ww]ritten by|[Aa]pproved by|[Nn]ote (?:is|came) from|[Zz]uständig (?:ist|bleibt)|[Ff]ragen Sie|[Vv]erantwortlich ist|[Dd]emandez à|[Pp]révenez|[Cc]ontactez|[Rr]esponsable :"
+    r"|我叫|我是|名字是|负责人[:：]|(?:请|可以)?联系|(?:昨天|今天|刚才)由?) ?$"
+)
+# Capitalised words that begin sentences or stand in headings, and are no part of a name.
 _NOT_A_NAME = frozenset("The A An I We You He She It They This That And Or But If When Who What Why How Nothing Thanks Please Step Batch From Do Let Keep Only My Our No Yes Ich Wir Der Die Das Nur Eine Bitte Wer Warum Seit Je Nous Le La Les Une Il Qui Rien Depuis Retenez Call Phone Tel Meet Ship Contact Kontakt Adresse Lieferung Team".split())
 # Characters that do not begin a Chinese name, and those that do not continue one.
 _NOT_FAMILY = frozenset("我你他她它们叫是的了在和与同由让给向找请联系人天为到来去说问及或：，。、！？；")
 _NOT_GIVEN = frozenset("的了在是和与会提先女同由让给向说问及或已将有没不我你他她它们")
 
 
-# Where a Chinese name stands whose parts need not be known: after an introduction, or as who will do something (fixed values).
-_HAN_INTRODUCED = re.compile(r"(?:(?:我叫|请联系|负责人[:：] ?|昨天)(?=[一-鿿]{2,4}?(?:先生|女士|小姐|老师|博士|教授|提交|会复核|[。，！\s]|$))|(?:^|(?<=[\s。！？，]))(?=[一-鿿]{2,3}会复核))([一-鿿]{2,4}?)(?=先生|女士|小姐|老师|博士|教授|提交|会复核|[。，！\s]|$)")
+# Where a Chinese name stands whose parts need not be known: after an introduction and before a title, something done or
+# an end, or at the beginning as who has a task (fixed values).
+_HAN_TITLE = "先生|女士|小姐|老师|博士|教授"
+_HAN_DOES = "(?:会|将|已|来)?(?:提交|复核|审核|负责|确认|批准|回复|处理)"
+_HAN_INTRODUCED = re.compile(rf"(?:(?:我叫|名字是|(?:请|可以)联系|负责人[:：] ?|昨天|今天|刚才)(?=[一-鿿]{{2,4}}?(?:{_HAN_TITLE}|{_HAN_DOES}|[。，！\s]|$))|(?:^|(?<=[\s。！？，]))(?=[一-鿿]{{2,3}}(?:会|将)(?:提交|复核|审核|负责|确认|批准|回复|处理)))([一-鿿]{{2,4}}?)(?={_HAN_TITLE}|{_HAN_DOES}|[。，！\s]|$)")
 
 
 class Lexicon:
@@ -204,7 +305,11 @@ class Scanner:
 
     def __init__(self, terms: Iterable[tuple[str, str]]) -> None:
         self.lexicon = Lexicon(terms)
-        self.mentions = lru_cache(50_000)(self._mentions)
+        self._short = lru_cache(20_000)(self._mentions)
+
+    def mentions(self, text: str) -> tuple[tuple[str, int, int], ...]:
+        """What _mentions finds. Short texts are remembered, as many are repeated; so what is held is of bounded size."""
+        return self._short(text) if len(text) <= SHORT else self._mentions(text)
 
     def _mentions(self, text: str) -> tuple[tuple[str, int, int], ...]:
         """(kind, start, end) in source characters, in order, not overlapping."""
