@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop
 
 import numpy as np
@@ -30,6 +31,8 @@ _MATCH = regex.compile(SPLIT)
 JOIN = 8
 #: How many tokens more than a word the rest of it may have.
 SURPLUS = 3
+#: From how many characters on a word is long, so that only its parts near the right number of tokens are tried.
+LONG = 64
 
 
 def segments(text: str) -> list[tuple[int, int]]:
@@ -111,6 +114,8 @@ class Splitter:
         self.bpe = encoder(vocabulary)
         self.width = np.asarray([len(self.bpe.decode_single_token_bytes(t)) for t in range(self.bpe.max_token_value + 1)])
 
+        self.short = lru_cache(50_000)(self.count)  # for parts of words
+
     def count(self, text: str) -> int:
         return len(self.bpe.encode_ordinary(text))
 
@@ -232,17 +237,18 @@ class Splitter:
         while at > x and not (text[at] in _BLANKS and text[at - 1] not in _BLANKS):
             at -= 1
         best, most = y, 0
-        rest = None
+        end = token + want
         for m in _MATCH.finditer(text, at, y):
             lo, hi = m.span()
             if hi <= begin:
                 continue
-            own = self.count(m[0])
-            rest = self.count(text[hi:y]) if rest is None else rest - own
+            before, after = atoms.tokens_before([lo, hi]).tolist()
+            own, rest = after - before, end - after
             if want - rest - own > SURPLUS:
                 break
-            for at in range(max(x, lo), hi):
-                n = self.count(text[at:hi]) + rest
+            near = max(begin, lo)  # of a very long word, what is near is tried
+            for at in range(max(x, lo, near - LONG), min(hi, near + LONG)):
+                n = (self.short if hi - at <= LONG else self.count)(text[at:hi]) + rest
                 if most < n <= want and self.count(text[at:y]) == n:
                     best, most = at, n
                     if n == want:
