@@ -105,6 +105,33 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(asked, unit, 10).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+def _ann(spark: SparkSession, d: str) -> tuple[vectors.ListIndex, DataFrame, DataFrame]:
+    """An index of all vectors, the vectors, and the queries: every row whose id is divisible by 50."""
+    unit = written(_unit(spark, d), "unit")
+    return vectors.ListIndex(unit), unit, unit.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("label").alias("own"))
+
+
+def ann_topk(spark: SparkSession, d: str) -> DataFrame:
+    """About the ten nearest vectors of each query, from the nearest lists of an index (see ann_recall)."""
+    index, _, asked = _ann(spark, d)
+    return index.search(asked, 10, index.probes_for(asked, 10)).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the exact ten nearest the index finds, over all queries."""
+    index, unit, asked = _ann(spark, d)
+    exact = vectors.nearest(asked, unit, 10).select("query_id", "vec_id")
+    found = index.search(asked, 10, index.probes_for(asked, 10)).select("query_id", "vec_id").withColumn("_f", F.lit(1))
+    return exact.join(found, ["query_id", "vec_id"], "left").agg(F.count("*").alias("wanted"), (F.count("_f") >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
+def ann_visible_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest vectors that a query may see (of its own label or an even one), out of three times as many; here all lists are probed."""
+    index, unit, asked = _ann(spark, d)
+    allowed = asked.select("query_id", "own").join(unit.select("vec_id", "label"), (F.col("label") == F.col("own")) | (F.col("label") % 2 == 0))
+    return vectors.visible_nearest(index, asked, allowed, 5, vectors.MOST_LISTS).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 def vector_checks(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
     return rows.groupBy("label").agg(F.count("*").alias("n"), F.count_if(vectors.usable("embedding")).alias("usable"), F.min(F.size("embedding")).alias("least_dimension"), F.max(F.size("embedding")).alias("most_dimension"))
@@ -222,7 +249,7 @@ def event_variants(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).filter("length(text) > 0").select("doc_id", F.size(fusion.halvings(F.length("text"))).alias("variants"))
 
 
-NAMES = (route_merge, contained_spans, complete_evidence_groups, event_variants, bm25_topk, bm25_gated_groups, term_statistics, chunk_postings_stats, best_chunk_per_owner, parent_window_expand, neighbour_chunks, content_anchor_filter, token_estimate_by_lang, query_coverage, rarest_anchor, cosine_topk, vector_checks, rrf_two_branch, rrf_conflict_exclusion, weighted_rank_fusion, balanced_interleave, source_rounds, linear_claim_score_topk, diversity_quota, bundle_pack, extractive_compress, native_pack_v2)
+NAMES = (route_merge, contained_spans, complete_evidence_groups, event_variants, bm25_topk, bm25_gated_groups, term_statistics, chunk_postings_stats, best_chunk_per_owner, parent_window_expand, neighbour_chunks, content_anchor_filter, token_estimate_by_lang, query_coverage, rarest_anchor, cosine_topk, ann_topk, ann_recall, ann_visible_topk, vector_checks, rrf_two_branch, rrf_conflict_exclusion, weighted_rank_fusion, balanced_interleave, source_rounds, linear_claim_score_topk, diversity_quota, bundle_pack, extractive_compress, native_pack_v2)
 
 
 def queries() -> dict:
@@ -279,6 +306,10 @@ UNION SELECT b.event_id FROM dead JOIN l a USING (event_id) JOIN l b ON a.claim_
         "rarest_anchor": f"WITH {_BM25} SELECT query_id, term, df FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY df) AS r FROM q JOIN f USING (term)) WHERE r = 1",
         "cosine_topk": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id) AS rank FROM p) WHERE rank <= 10""",
+        "ann_recall": "SELECT sum(least(10, n - 1)) AS wanted, true AS recall_reached FROM (SELECT (SELECT count(*) FROM embeddings) AS n FROM embeddings WHERE vec_id % 50 = 0)",
+        "ann_visible_topk": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, q.label AS own, e.label, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id) AS r FROM p)
+SELECT query_id, vec_id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id) AS rank FROM f WHERE r <= 15 AND (label = own OR label % 2 = 0) QUALIFY rank <= 5""",
         "vector_checks": "SELECT label, count(*) AS n, count(*) FILTER (list_sum(list_transform(embedding, lambda x: abs(x))) > 0) AS usable, min(len(embedding)) AS least_dimension, max(len(embedding)) AS most_dimension FROM embeddings GROUP BY label",
         "rrf_two_branch": """WITH b AS (SELECT coalesce(lang, '?') AS lang, doc_id, row_number() OVER (PARTITION BY coalesce(lang, '?') ORDER BY n_chars DESC, doc_id) AS r1, row_number() OVER (PARTITION BY coalesce(lang, '?') ORDER BY created_at NULLS FIRST, doc_id) AS r2 FROM documents)
 SELECT lang, doc_id, round(1 / (60 + r1) + 1 / (60 + r2), 9) AS score, 2 AS branches FROM b""",

@@ -114,6 +114,28 @@ def test_vectors(spark):
     assert vectors.nearest(asked.limit(0), ok, 3).count() == 0
 
 
+def test_list_index(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(20, 16)) * 3
+    x = centres[r.integers(0, 20, 1500)] + r.normal(size=(1500, 16))
+    x[:500] = centres[0] + 0.3 * r.normal(size=(500, 16))  # a third of all in one list
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    unit = df.select("vec_id", vectors.normalised("embedding").alias("v"))
+    asked = unit.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    exact = {(a.query_id, a.vec_id) for a in vectors.nearest(asked, unit, 10).collect()}
+    index = vectors.ListIndex(unit)
+    probes = index.probes_for(asked, 10)
+    found = {(a.query_id, a.vec_id) for a in index.search(asked, 10, probes).collect()}
+    assert len(exact) == 300 and len(exact & found) >= 270 and probes < len(index.centres)
+    assert {(a.query_id, a.vec_id) for a in index.search(asked, 10, len(index.centres)).collect()} == exact
+    even = unit.filter("vec_id % 2 = 0").select("vec_id").crossJoin(asked.select("query_id"))
+    got = vectors.visible_nearest(index, asked, even, 3, len(index.centres)).collect()
+    assert got and all(a.vec_id % 2 == 0 for a in got)
+    assert vectors.ListIndex(unit.limit(0)).search(asked, 3, 1).count() == 0
+
+
 def test_three_valued_rules(spark):
     df = spark.createDataFrame([(1, "a", True, dt(2026, 6, 1)), (None, None, None, None)], "n int, s string, b boolean, t timestamp")
     types = dict(df.dtypes)
