@@ -7,8 +7,22 @@ from pyspark.sql import functions as F
 
 # Fixed value: what the analyzer keeps of a text, runs of ASCII letters and digits and runs of Han characters.
 RUNS = r"[a-z0-9]+|[\x{3400}-\x{9fff}]+"
-# Words that say nothing about a topic (our own list).
-FUNCTION_WORDS = tuple("a an and are as at be but by did do does for from had has have how i in is it its me my no not of on or our so that the their them they this to us was we were what when where which who why will with you your".split())
+# Words that say nothing about a topic, words that negate, and signs that quote.
+FUNCTION_WORDS = tuple("""
+a an the what when where who whom whose which why how much many often
+do does did is are am was were be being been have has had
+can could may might must shall should will would
+i me my mine myself you your yours yourself yourselves
+he him his himself she her hers herself it its itself
+we us our ours ourselves they them their theirs themselves
+this that these those any all some each every both either another
+at in on to from for of by with about as into onto over under than
+through between during up down out and or but if because while so
+there here then now ever s d ll m re ve t
+""".split())
+NEGATIONS = ("no", "not", "never", "without", "neither", "nor", "none", "nobody", "nothing", "nowhere")
+ARTICLES = ("a", "an", "the")
+QUOTED = r'"[^"\n]+"|\x{201c}[^\x{201d}\n]+\x{201d}|\x{2018}[^\x{2019}\n]+\x{2019}'
 
 
 def folded(text: str | Column) -> Column:
@@ -32,9 +46,19 @@ def terms(text: str | Column) -> Column:
 
 
 def anchors(text: str | Column) -> Column:
-    """The distinct terms of a query that tell its topic, in order of appearance: no function words, no bare numbers."""
-    kept = F.filter(F.array_distinct(terms(text)), lambda t: ~t.isin(*FUNCTION_WORDS) & ~t.rlike("^[0-9]+$"))
-    return kept
+    """The distinct terms of a query that tell its topic, in order of appearance: no function words, negations or bare numbers.
+
+    Words in quotes are kept whatever they are, but for an article that stands beside others.
+    """
+
+    def kept_in(quote: Column) -> Column:
+        words = terms(quote)
+        plain = F.filter(words, lambda t: ~t.isin(*ARTICLES))
+        return F.when(F.size(plain) > 0, plain).otherwise(words)
+
+    quoted = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(QUOTED), F.lit(0)), kept_in))
+    topical = lambda t: ~t.isin(*FUNCTION_WORDS, *NEGATIONS) & ~t.rlike("^[0-9]+$")
+    return F.filter(F.array_distinct(terms(text)), lambda t: topical(t) | F.array_contains(quoted, t))
 
 
 def token_estimate(text: str | Column) -> Column:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from heapq import heapify, heappop, heapreplace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.operators.ranks import numbered
 from annalist.operators.sweep import by_group, stream_groups
 
 # The constant of reciprocal rank fusion, and the weights of a lexical and a semantic rank.
@@ -39,20 +39,18 @@ def weighted_rank_score(lexical_rank: Column, semantic_rank: Column, k: int = RR
     return (LEXICAL / (k + lexical_rank) + SEMANTIC / (k + semantic_rank)) / (LEXICAL + SEMANTIC)
 
 
-def interleaved(candidates: DataFrame, group: list[str], kind: str, order: list[Column], limit: int | None = None) -> DataFrame:
+def interleaved(candidates: DataFrame, group: list[str], kind: str, order: list[Column], limit: int | None = None, **hot: int) -> DataFrame:
     """Candidates in turns of their kinds: the best of each kind, then the second of each, ...; score 1 / (60 + turn)."""
-    turn = F.row_number().over(Window.partitionBy(*group, kind).orderBy(*order))
-    out = candidates.withColumn("turn", turn)
-    out = out.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy("turn", kind)))
+    out = numbered(candidates, [*group, kind], order, "turn", **hot)
+    out = numbered(out, group, ["turn", kind], "position", **hot)
     out = out.withColumn("score", 1 / (RRF_K + F.col("turn")))
     return out if limit is None else out.filter(F.col("position") <= limit)
 
 
-def source_rounds(candidates: DataFrame, source: str, order: list[Column], tie: list[Column]) -> DataFrame:
+def source_rounds(candidates: DataFrame, source: str, order: list[Column], tie: list[Column], **hot: int) -> DataFrame:
     """Rounds over sources: the best row of each source, sources by their best, then the second of each, ..."""
-    w = Window.partitionBy(source).orderBy(*order)
-    ranked = candidates.withColumn("round", F.row_number().over(w))
-    best = ranked.filter("round = 1").withColumn("source_rank", F.row_number().over(Window.orderBy(*order, *tie))).select(F.col(source).alias("_s"), "source_rank")
+    ranked = numbered(candidates, [source], order, "round", **hot)
+    best = numbered(ranked.filter("round = 1"), [], [*order, *tie], "source_rank", **hot).select(F.col(source).alias("_s"), "source_rank")
     return ranked.join(best, F.col(source) == F.col("_s")).drop("_s")
 
 
@@ -106,46 +104,109 @@ def within_budget(budget: int) -> object:
     return choose
 
 
-def marginal_gain(budget: int, most: int = 64) -> object:
-    """(id, source, terms as a blank-separated string, score, size): repeatedly the item that adds the most for its query.
+# What coverage, novelty, a missing topic, a repeated topic, a new source, an overlap and tokens weigh in packing, and how far
+# below the most relevant item one may be to compete with it.
+COVERAGE, NOVELTY, TOPIC, REPETITION, NEW_SOURCE, OVERLAP, COST, FRONTIER = 0.01, 0.01, 0.08, 0.08, 0.005, 0.03, 0.10, 0.12
 
-    Gain is relevance, a little for coverage and novelty of terms and for a new source, less redundancy (fixed weights);
-    what does not fit is skipped. Every item of a group is weighed: a gain never grows as more is chosen, so one computed
-    before is an upper bound and only the top of a heap is computed anew. The rows of a group are held in memory.
+
+def uncovered(span: tuple[int, int], chosen: list[tuple[int, int]]) -> int:
+    """How many characters of a span no chosen span has; 0 if it lies within their union."""
+    left, at = 0, span[0]
+    for a, b in sorted(chosen):
+        if b <= at:
+            continue
+        if a >= span[1]:
+            break
+        left += max(0, min(a, span[1]) - at)
+        at = max(at, b)
+    return left + max(0, span[1] - at)
+
+
+def evidence_pack(budget: int, most: int = MOST_ITEMS) -> object:
+    """(id, score, size, owner, lo, hi, source, terms, needs): the evidence that fits a budget of tokens, for one query.
+
+    terms are the query's terms the item has (a blank-separated string), [lo, hi) is the part of its owner's text it shows, needs
+    is an item that must come along, or null. Step by step, of the items whose relevance (score, from 0 to 1) is within
+    FRONTIER of the best left, the one is taken that gains the most: relevance, and a little for the terms it has, for
+    those that are new, for its share of the query's terms still missing and for a new source; less for terms
+    that one chosen item has already, for text that is shown already, and, where not all of the leading items
+    fit, for its tokens against what is left per place. An item comes together with what it needs, as one
+    unit, and not at all if they don't fit or what it needs isn't there. What the union of chosen parts of its owner shows already
+    is left out. Gives id, position and the tokens used up to there. Nothing is cut off before it is weighed.
     """
 
     def choose(stream: Iterator[tuple]) -> list[tuple]:
-        rows = list({r[0]: r for r in stream}.values())
-        low = min(0.0, min(r[3] for r in rows))
-        span = max(r[3] for r in rows) - low or 1.0
-        everything = len(set().union(*(r[2].split() for r in rows)) or {""})
+        rows: dict[str, tuple] = {}
+        for r in stream:
+            rows.setdefault(r[0], (*r[:7], frozenset(r[7].split()), r[8]))
+        if not rows:
+            return []
+        low = min(0.0, *(r[1] for r in rows.values()))
+        span = max(r[1] for r in rows.values()) - low or 1.0
+        asked = frozenset().union(*(r[7] for r in rows.values()))
+        order = sorted(rows.values(), key=lambda r: (-r[1], r[0]))
+        tight = sum(r[2] for r in order[:most]) > budget
         seen: set[str] = set()
         sources: set[str] = set()
-
-        def key(r: tuple) -> tuple[float, str]:
-            words = set(r[2].split())
-            fresh = len(words - seen)
-            gain = (r[3] - low) / span + 0.01 * len(words) / everything + 0.01 * fresh / max(1, len(words)) + 0.005 * (r[1] not in sources) - 0.03 * (1 - fresh / max(1, len(words)))
-            return -gain, r[0]
-
-        heap = [(*key(r), n) for n, r in enumerate(rows)]
-        heapify(heap)
-        out, used = [], 0
-        while heap and len(out) < most:
-            n = heap[0][2]
-            r = rows[n]
-            if used + r[4] > budget:
-                heappop(heap)
-                continue
-            now = (*key(r), n)
-            if now > heap[0]:
-                heapreplace(heap, now)
-                continue
-            heappop(heap)
-            seen |= set(r[2].split())
-            sources.add(r[1])
-            used += r[4]
-            out.append((r[0], len(out) + 1, used))
+        shown: dict[str, list[tuple[int, int]]] = {}
+        chosen: list[tuple] = []
+        taken: set[str] = set()
+        used = 0
+
+        def gain(r: tuple) -> float:
+            share = (budget - used) / max(1, most - len(chosen))
+            fresh = len(r[7] - seen)
+            repeated = max((len(r[7] & c[7]) / max(1, len(r[7])) for c in chosen), default=0.0)
+            width = max(1, r[5] - r[4])
+            overlap = 1 - uncovered((r[4], r[5]), shown.get(r[3], [])) / width
+            return (
+                (r[1] - low) / span + COVERAGE * len(r[7]) / max(1, len(asked)) + NOVELTY * fresh / max(1, len(asked)) + TOPIC * fresh / max(1, len(asked - seen))
+                - REPETITION * repeated + NEW_SOURCE * (r[6] not in sources) - OVERLAP * overlap - (COST * min(1.0, r[2] / max(1.0, share)) if tight else 0.0)
+            )
+
+        def unit(r: tuple) -> list[tuple] | None:
+            """The item and what it needs, in that order, without what is chosen; None if something is missing or needs itself."""
+            out, at = [], r
+            while at[0] not in taken:
+                if at in out:
+                    return None
+                out.append(at)
+                if at[8] is None:
+                    break
+                at = rows.get(at[8])
+                if at is None:
+                    return None
+            return [x for x in out if uncovered((x[4], x[5]), shown.get(x[3], []))]
+
+        waiting = list(order)
+        while waiting and len(chosen) < most:
+            best, best_key, units = None, None, {}
+            top = None
+            for r in waiting:
+                if top is not None and (r[1] - low) / span < top - FRONTIER:
+                    break
+                members = unit(r)
+                if not members or len(chosen) + len(members) > most or used + sum(x[2] for x in members) > budget:
+                    continue
+                if top is None:
+                    top = (r[1] - low) / span
+                key = (-gain(r), r[0])
+                if best_key is None or key < best_key:
+                    best, best_key, units = r, key, members
+            if best is None:
+                break
+            for x in units:
+                used += x[2]
+                chosen.append(x)
+                taken.add(x[0])
+                seen |= x[7]
+                sources.add(x[6])
+                shown.setdefault(x[3], []).append((x[4], x[5]))
+            waiting = [r for r in waiting if r[0] not in taken]
+        total, out = 0, []
+        for n, x in enumerate(chosen, 1):
+            total += x[2]
+            out.append((x[0], n, total))
         return out
 
     return choose
@@ -186,6 +247,21 @@ def contained(spans: DataFrame, keys: list[str], lo: str, hi: str, ident: str) -
     return spans.withColumn("_reach", F.max(hi).over(w)).filter(F.col(hi) <= F.col("_reach")).drop("_reach")
 
 
+def covered_by_union(targets: DataFrame, shown: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
+    """Targets every part of which lies in the union of the shown spans of their keys; touching spans are one.
+
+    The shown spans are merged first; then the merged span that begins last at or before a target decides, found in one
+    ordered pass over both. Spans and targets with a null bound or no length are left out.
+    """
+    from annalist.operators.coverage import coverage
+
+    merged = coverage(shown, tuple(keys), lo, hi).filter("kind = 'period'").select(*keys, F.col("from_us").alias("_at"), F.col("to_us").alias("_end"), F.lit(0).alias("_target"), *(F.lit(None).cast(t).alias(c) for c, t in targets.dtypes if c not in keys))
+    asked = targets.filter(F.col(lo) < F.col(hi)).withColumn("_at", F.col(lo).cast("bigint")).withColumn("_end", F.lit(None).cast("bigint")).withColumn("_target", F.lit(1))
+    w = Window.partitionBy(*keys).orderBy("_at", "_target").rowsBetween(Window.unboundedPreceding, 0)
+    both = merged.unionByName(asked).withColumn("_reach", F.last("_end", True).over(w))
+    return both.filter((F.col("_target") == 1) & (F.col(hi) <= F.col("_reach"))).select(*targets.columns)
+
+
 def complete_groups(members: DataFrame, alive: DataFrame, group: str, item: str) -> DataFrame:
     """Groups all of whose items are alive, where an item also dies with any of its groups, until nothing more dies."""
     from annalist.session import written

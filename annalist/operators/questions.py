@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.operators.ranks import numbered
+
 
 def folded_field(facts: DataFrame, group: list[str], value: str, incomplete: Column | None = None) -> DataFrame:
     """Per group one field's status and value: contested with several values, unknown with none or if incomplete."""
@@ -48,7 +50,7 @@ def due(last: Column, first: Column, debounce_us: int, most_wait_us: int, *bound
 
 def fair_order(jobs: DataFrame, tenant: str, priority: Column, tie: list[Column]) -> DataFrame:
     """Jobs in rounds over tenants: each tenant's most urgent first; tenant_rank says in which round a job comes."""
-    return jobs.withColumn("tenant_rank", F.row_number().over(Window.partitionBy(tenant).orderBy(priority.desc(), *tie)))
+    return numbered(jobs, [tenant], [priority.desc(), *tie], "tenant_rank")
 
 
 def backoff(attempts: Column, most: int = 300) -> Column:

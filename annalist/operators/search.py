@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -218,3 +219,69 @@ def parent_windows(hits: DataFrame, key: str, lengths: DataFrame, stride: int =
     """Each hit (key, span_start) with the span of the four chunks around it: window_start and window_end."""
     start = F.greatest(F.lit(0), F.col("span_start") - 2 * stride)
     return hits.join(lengths, key).withColumn("window_start", start).withColumn("window_end", F.least(F.col("n_chars"), F.col("window_start") + 3 * stride + size))
+
+
+def excerpts(hits: DataFrame, keys: list[str], text: str, asked: str, size: int) -> DataFrame:
+    """keys, start and end of the part of size characters of each text that has most of the asked terms, the earliest of equals.
+
+    asked is an array of terms. Parts begin a third of size before a place where a term stands, or at the beginning of the text; all such
+    places of the whole text are tried. A term weighs the more the fewer of these parts have it. Texts no longer than
+    size are one part; null and empty texts have none. Map-only, one text at a time.
+    """
+    out = StructType([*(StructField(k, hits.schema[k].dataType) for k in keys), StructField("start", LongType()), StructField("end", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, starts, ends = [], [], []
+            for i, (t, terms_of) in enumerate(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist(), strict=True)):
+                if t:
+                    a, b = excerpt(t, terms_of or [], size)
+                    rows.append(i)
+                    starts.append(a)
+                    ends.append(b)
+            yield pa.record_batch([*(c.take(pa.array(rows, pa.int64())) for c in batch.columns[: len(keys)]), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=[*keys, "start", "end"])
+
+    return hits.select(*keys, text, asked).mapInArrow(run, out)
+
+
+_RUN = re.compile("[a-z0-9]+|[\u3400-\u9fff]+")
+
+
+def excerpt(text: str, asked: list[str], size: int) -> tuple[int, int]:
+    """The best part of one text, see excerpts: one pass over its terms in order, with the parts that are open at each."""
+    n = len(text)
+    if size >= n:
+        return 0, n
+    wanted = set(asked)
+    lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)  # positions stay
+    places: list[tuple[int, int, str]] = []
+    for m in _RUN.finditer(lower):
+        run, at = m[0], m.start()
+        if run[0] < "\u3400":
+            if run in wanted:
+                places.append((at, m.end(), run))
+            continue
+        for k in range(len(run)):
+            for part in (run[k], run[k : k + 2]):
+                if part in wanted and (len(part) == 2 or part == run[k]):
+                    places.append((at + k, at + k + len(part), part))
+    places = sorted(set(places))
+    starts = sorted({0, *(min(max(0, a - size // 3), n - size) for a, _, _ in places)})
+    inside: list[set[str]] = []
+    first = 0
+    for s in starts:
+        while first < len(places) and places[first][0] < s:
+            first += 1
+        found, k = set(), first
+        while k < len(places) and places[k][0] < s + size:
+            if places[k][1] <= s + size:
+                found.add(places[k][2])
+            k += 1
+        inside.append(found)
+    count: dict[str, int] = {}
+    for found in inside:
+        for t in found:
+            count[t] = count.get(t, 0) + 1
+    weight = {t: float(np.log1p((len(starts) + 0.5) / (c + 0.5))) for t, c in count.items()}
+    best = max(range(len(starts)), key=lambda i: (round(sum(weight[t] for t in sorted(inside[i])), 9), -starts[i]))
+    return starts[best], starts[best] + size

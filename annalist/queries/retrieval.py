@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from annalist.functions import text as T
 from annalist.operators import fusion, search, vectors
-from annalist.session import written
+from annalist.operators.ranks import numbered
+from annalist.session import kept, written
 from annalist.sources.tables import table
 
 
@@ -21,9 +22,9 @@ def _asked(docs: DataFrame) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, tuple]:
-    """The index, and all that search.bm25_indexed takes before its bounds."""
+    """The index, made once while the documents are the same, and all that search.bm25_indexed takes before its bounds."""
     docs = _docs(spark, d)
-    indexed = written(search.index(docs, "doc_id", "text"), "index")  # texts are analysed once
+    indexed = kept(spark, "index", [f"{d}/documents.parquet"], lambda: search.index(docs, "doc_id", "text"))
     return indexed, ("doc_id", _asked(docs), *search.index_statistics(indexed))
 
 
@@ -73,7 +74,7 @@ def neighbour_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def content_anchor_filter(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.array_sort(T.anchors("text")).alias("a")).select("doc_id", F.size("a").alias("anchors"), F.array_join(F.slice("a", 1, 5), " ").alias("first"))
+    return _docs(spark, d).select("doc_id", F.array_sort(T.anchors("text")).alias("a")).select("doc_id", F.size("a").alias("anchors"), F.array_join("a", " ").alias("words"))
 
 
 def token_estimate_by_lang(spark: SparkSession, d: str) -> DataFrame:
@@ -140,9 +141,8 @@ def vector_checks(spark: SparkSession, d: str) -> DataFrame:
 def _branches(spark: SparkSession, d: str) -> DataFrame:
     """Two rankings of documents per workspace and language: by length and by age."""
     docs = table(spark, d, "documents", "doc_id", "lang", "source", "n_chars", "created_at").withColumn("lang", F.coalesce("lang", F.lit("?")))
-    w = Window.partitionBy("lang")
-    by_size = docs.select("lang", "doc_id", F.lit("size").alias("method"), F.row_number().over(w.orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
-    by_age = docs.select("lang", "doc_id", F.lit("age").alias("method"), F.row_number().over(w.orderBy("created_at", "doc_id")).alias("rank"))
+    by_size = numbered(docs, ["lang"], [F.desc("n_chars"), "doc_id"], "rank").select("lang", "doc_id", F.lit("size").alias("method"), "rank")
+    by_age = numbered(docs, ["lang"], ["created_at", "doc_id"], "rank").select("lang", "doc_id", F.lit("age").alias("method"), "rank")
     return by_size.unionByName(by_age)
 
 
@@ -154,9 +154,8 @@ def rrf_two_branch(spark: SparkSession, d: str) -> DataFrame:
 def rrf_conflict_exclusion(spark: SparkSession, d: str) -> DataFrame:
     """Claims as candidates of two methods; ids whose rows disagree are left out."""
     claims = table(spark, d, "claims", "id", "tenant_id", "text", "status", "confidence", "importance").filter("id IS NOT NULL")
-    w = Window.partitionBy("tenant_id")
-    lex = claims.withColumn("method", F.lit("confidence")).withColumn("rank", F.rank().over(w.orderBy(F.desc("confidence"))))
-    sem = claims.withColumn("method", F.lit("importance")).withColumn("rank", F.rank().over(w.orderBy(F.desc("importance")))).withColumn("text", F.when(F.col("status").startswith("arch"), F.upper("text")).otherwise(F.col("text")))
+    lex = numbered(claims, ["tenant_id"], [F.desc("confidence")], "rank", ties=True).withColumn("method", F.lit("confidence"))
+    sem = numbered(claims, ["tenant_id"], [F.desc("importance")], "rank", ties=True).withColumn("method", F.lit("importance")).withColumn("text", F.when(F.col("status").startswith("arch"), F.upper("text")).otherwise(F.col("text")))
     both = lex.unionByName(sem).withColumn("evidence", F.array("method")).withColumnRenamed("text", "said")
     out = fusion.fuse(both, ["tenant_id"], "id", ["said"])
     return out.select("tenant_id", "id", F.round("score", 9).alias("score"), "methods")
@@ -164,8 +163,7 @@ def rrf_conflict_exclusion(spark: SparkSession, d: str) -> DataFrame:
 
 def weighted_rank_fusion(spark: SparkSession, d: str) -> DataFrame:
     claims = table(spark, d, "claims", "id", "tenant_id", "confidence", "importance").filter("id IS NOT NULL").distinct()
-    w = Window.partitionBy("tenant_id")
-    r = claims.withColumn("a", F.rank().over(w.orderBy(F.desc("confidence")))).withColumn("b", F.rank().over(w.orderBy(F.desc("importance"))))
+    r = numbered(numbered(claims, ["tenant_id"], [F.desc("confidence")], "a", ties=True), ["tenant_id"], [F.desc("importance")], "b", ties=True)
     return r.select("tenant_id", "id", F.round(fusion.weighted_rank_score(F.col("a"), F.col("b")), 9).alias("score"))
 
 
@@ -192,32 +190,73 @@ def linear_claim_score_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.top(scored, ["tenant_id"], [F.desc("score"), F.col("id")], 10).select("tenant_id", "id", "score", "rank")
 
 
+#: Kinds of evidence by source; anything else is an event (how the test documents are read).
+KIND_OF = {"user_memo": "claim", "claim_digest": "claim", "design_note": "block", "benchmark_report": "block", "legacy_wiki": "block", "support_ticket": "episode", "changelog": "procedure", "field_glossary": "latent"}
+#: Items wanted of a search, and the hits that compete for them (fixed rule: four times as many, 32 to 2,400).
+WANTED = 12
+POOL = min(2400, max(32, 4 * WANTED))
+
+
+def _hits(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """The k best texts of each query: query_id, doc_id, score, rank."""
+    scored = _bm25(spark, d, k).withColumn("score", F.round("score", 6))
+    return search.top(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
+
+
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of each workspace: its documents with a score and a size."""
-    docs = table(spark, d, "documents", "doc_id", "workspace_id", "source", "text", "n_chars").filter("workspace_id IS NOT NULL")
-    kind = F.element_at(F.array(*(F.lit(k) for k in fusion.KIND_QUOTA)), (F.pmod("doc_id", F.lit(6)) + 1).cast("int"))
-    return docs.select("workspace_id", F.col("doc_id").cast("string").alias("id"), kind.alias("kind"), (F.pmod(F.col("doc_id") * 7919, F.lit(1000)) / 1000).alias("score"), F.lower(F.trim("source")).alias("source"), T.token_estimate("text").alias("size"), F.array_join(T.anchors("text"), " ").alias("words"))
+    """The hits of each query as evidence: id, kind, score, source, size, and the terms of the query they have."""
+    docs = table(spark, d, "documents", "doc_id", "source", "text", "n_chars")
+    indexed, how = _index(spark, d)
+    asked = how[1].groupBy("query_id").agg(F.collect_list("term").alias("asked"))  # one text's terms
+    source = F.lower(F.trim("source"))
+    kind = F.lit("event")
+    for name, k in KIND_OF.items():
+        kind = F.when(source == name, k).otherwise(kind)
+    rows = _hits(spark, d, POOL).join(docs, "doc_id").join(indexed.select("doc_id", "terms"), "doc_id").join(asked, "query_id")
+    words = F.array_join(F.array_sort(F.array_intersect("terms", "asked")), " ")
+    return rows.select("query_id", F.col("doc_id").cast("string").alias("id"), kind.alias("kind"), "score", source.alias("source"), T.token_estimate("text").cast("bigint").alias("size"), F.col("n_chars").cast("bigint").alias("hi"), words.alias("words"))
 
 
 def diversity_quota(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.greedy(_candidates(spark, d), ["workspace_id"], ["id", "kind", "score", "source"], "workspace_id string, id string, position int", fusion.diverse)
+    """Of each query's hits the best eight, so that no kind and no source has more than its share."""
+    return fusion.greedy(_candidates(spark, d), ["query_id"], ["id", "kind", "score", "source"], "query_id bigint, id string, position int", fusion.diverse)
 
 
 def bundle_pack(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.greedy(_candidates(spark, d), ["workspace_id"], ["id", "score", "size"], "workspace_id string, id string, position int, used int", fusion.within_budget(2048))
+    """Of each query's hits, best first, those that still fit a budget of tokens."""
+    return fusion.greedy(_candidates(spark, d), ["query_id"], ["id", "score", "size"], "query_id bigint, id string, position int, used bigint", fusion.within_budget(2048))
 
 
 def extractive_compress(spark: SparkSession, d: str) -> DataFrame:
     """The newest events of each session that fit 200 tokens together, in order of time."""
     events = table(spark, d, "memory_events", "id", "session_id", "content", "occurred_at").filter("session_id IS NOT NULL AND content IS NOT NULL")
     once = events.groupBy("id").agg(F.min(F.struct("session_id", "occurred_at", "content")).alias("e")).select("id", "e.*")
-    rows = once.select("session_id", "id", F.unix_micros(F.col("occurred_at").cast("timestamp")).cast("double").alias("score"), T.token_estimate("content").alias("size"))
-    kept = fusion.greedy(rows, ["session_id"], ["id", "score", "size"], "session_id string, id string, newest int, used int", fusion.within_budget(200))
-    return kept.select("session_id", "id", "newest", "used")
+    rows = once.select("session_id", "id", F.unix_micros(F.col("occurred_at").cast("timestamp")).cast("double").alias("score"), T.token_estimate("content").cast("bigint").alias("size"))
+    chosen = fusion.greedy(rows, ["session_id"], ["id", "score", "size"], "session_id string, id string, newest int, used bigint", fusion.within_budget(200))
+    return chosen.select("session_id", "id", "newest", "used")
 
 
 def native_pack_v2(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.greedy(_candidates(spark, d), ["workspace_id"], ["id", "source", "words", "score", "size"], "workspace_id string, id string, position int, used int", fusion.marginal_gain(2048))
+    """Of each query's hits the evidence that adds the most, step by step, within a budget of tokens; another copy of a text adds none."""
+    rows = _candidates(spark, d).withColumn("lo", F.lit(0).cast("bigint")).withColumn("needs", F.lit(None).cast("string"))
+    texts = table(spark, d, "documents", F.col("doc_id").cast("string").alias("id"), F.sha2("text", 256).alias("owner"))
+    return fusion.greedy(rows.join(texts, "id"), ["query_id"], ["id", "score", "size", "owner", "lo", "hi", "source", "words", "needs"], "query_id bigint, id string, position int, used bigint", fusion.evidence_pack(2048))
+
+
+def best_excerpt(spark: SparkSession, d: str) -> DataFrame:
+    """The part of 400 characters of each query's five best texts that holds most of the query's terms, rare ones weighing more."""
+    docs = table(spark, d, "documents", "doc_id", "text")
+    _, how = _index(spark, d)
+    asked = how[1].groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("asked"))
+    return search.excerpts(_hits(spark, d, 5).join(docs, "doc_id").join(asked, "query_id"), ["query_id", "doc_id"], "text", "asked", 400)
+
+
+def covered_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of 1,024 characters that lie in the union of some chunks of 512."""
+    docs = _docs(spark, d)
+    large = search.chunks(docs, "doc_id", "text").select("doc_id", "span_start", "span_end")
+    small = search.chunks(docs, "doc_id", "text", 512, 448).filter("span_start % 3 <> 0").select("doc_id", "span_start", "span_end")
+    return fusion.covered_by_union(large, small, ["doc_id"], "span_start", "span_end")
 
 
 def route_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -249,7 +288,7 @@ def event_variants(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).filter("length(text) > 0").select("doc_id", F.size(fusion.halvings(F.length("text"))).alias("variants"))
 
 
-NAMES = (route_merge, contained_spans, complete_evidence_groups, event_variants, bm25_topk, bm25_gated_groups, term_statistics, chunk_postings_stats, best_chunk_per_owner, parent_window_expand, neighbour_chunks, content_anchor_filter, token_estimate_by_lang, query_coverage, rarest_anchor, cosine_topk, ann_topk, ann_recall, ann_visible_topk, vector_checks, rrf_two_branch, rrf_conflict_exclusion, weighted_rank_fusion, balanced_interleave, source_rounds, linear_claim_score_topk, diversity_quota, bundle_pack, extractive_compress, native_pack_v2)
+NAMES = (route_merge, best_excerpt, covered_spans, contained_spans, complete_evidence_groups, event_variants, bm25_topk, bm25_gated_groups, term_statistics, chunk_postings_stats, best_chunk_per_owner, parent_window_expand, neighbour_chunks, content_anchor_filter, token_estimate_by_lang, query_coverage, rarest_anchor, cosine_topk, ann_topk, ann_recall, ann_visible_topk, vector_checks, rrf_two_branch, rrf_conflict_exclusion, weighted_rank_fusion, balanced_interleave, source_rounds, linear_claim_score_topk, diversity_quota, bundle_pack, extractive_compress, native_pack_v2)
 
 
 def queries() -> dict:
@@ -264,11 +303,15 @@ def sql_terms(text: str) -> str:
     )
 
 
-_WORDS = ", ".join(f"'{w}'" for w in T.FUNCTION_WORDS)
+_WORDS = ", ".join(f"'{w}'" for w in (*T.FUNCTION_WORDS, *T.NEGATIONS))
 
 
 def sql_anchors(text: str) -> str:
-    return f"list_sort(list_filter(list_distinct({sql_terms(text)}), lambda t: t NOT IN ({_WORDS}) AND NOT regexp_matches(t, '^[0-9]+$')))"
+    quotes = rf"""regexp_extract_all({text}, '"[^"\n]+"|“[^”\n]+”|‘[^’\n]+’')"""
+    inner = sql_terms("qq")
+    plain = f"list_filter({inner}, lambda t: t NOT IN ('a', 'an', 'the'))"
+    kept_words = f"flatten(list_transform({quotes}, lambda qq: CASE WHEN len({plain}) > 0 THEN {plain} ELSE {inner} END))"
+    return f"list_sort(list_filter(list_distinct({sql_terms(text)}), lambda t: t NOT IN ({_WORDS}) AND NOT regexp_matches(t, '^[0-9]+$') OR list_contains({kept_words}, t)))"
 
 
 _EST = "greatest(1, CAST(ceil((length({0}) - length(regexp_replace({0}, '[\\x00-\\x7F]', '', 'g'))) / 4) AS BIGINT) + length(regexp_replace({0}, '[\\x00-\\x7F]', '', 'g')))".replace(
@@ -285,8 +328,32 @@ s AS (SELECT query_id, p.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
   FROM q JOIN p USING (term) JOIN f USING (term), st GROUP BY ALL)"""
 
 
+_KINDS = "CASE lower(trim(source)) " + " ".join(f"WHEN '{s}' THEN '{k}'" for s, k in KIND_OF.items()) + " ELSE 'event' END"
+_POOL = f"""{_BM25}, r AS (SELECT query_id, doc_id, round(score, 6) AS score FROM s), pool AS (SELECT *, CAST(doc_id AS VARCHAR) AS id FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= {POOL}),
+cand AS (SELECT query_id, id, score, lower(trim(source)) AS source, {_KINDS} AS kind, CAST({_EST.format('text')} AS BIGINT) AS size, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM pool JOIN documents USING (doc_id))"""
+
+
+def sql_budget(group: str, budget: int) -> str:
+    """What fits a budget, in order of cand.k, where a row that doesn't fit uses up nothing (goes on after a WITH RECURSIVE that has cand)."""
+    return f"""g AS (SELECT DISTINCT {group} AS grp, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CAST(NULL AS VARCHAR) AS id, false AS fits FROM cand UNION ALL
+SELECT g.grp, c.k, CASE WHEN g.used + c.size <= {budget} THEN g.used + c.size ELSE g.used END, c.id, g.used + c.size <= {budget} FROM g JOIN cand c ON c.{group} = g.grp AND c.k = g.k + 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
+    quota = "CASE c.kind " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in fusion.KIND_QUOTA.items()) + f" ELSE {fusion.MOST_ITEMS} END"
     return {
+        "bundle_pack": f"WITH RECURSIVE {_POOL}, {sql_budget('query_id', 2048)} SELECT grp AS query_id, id, CAST(row_number() OVER (PARTITION BY grp ORDER BY k) AS INT) AS position, used FROM g WHERE fits",
+        "diversity_quota": f"""WITH RECURSIVE {_POOL}, g AS (SELECT DISTINCT query_id AS grp, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS kinds, CAST([] AS VARCHAR[]) AS sources, CAST(NULL AS VARCHAR) AS id, false AS fits FROM cand UNION ALL
+SELECT grp, ck, CASE WHEN ok THEN list_append(kinds, kind) ELSE kinds END, CASE WHEN ok THEN list_append(sources, source) ELSE sources END, cid, ok FROM (SELECT g.*, c.k AS ck, c.id AS cid, c.kind, c.source,
+len(g.kinds) < {fusion.MOST_ITEMS} AND len(list_filter(g.kinds, lambda x: x = c.kind)) < {quota} AND len(list_filter(g.sources, lambda x: x = c.source)) < {fusion.SOURCE_QUOTA} AS ok FROM g JOIN cand c ON c.query_id = g.grp AND c.k = g.k + 1))
+SELECT grp AS query_id, id, CAST(row_number() OVER (PARTITION BY grp ORDER BY k) AS INT) AS position FROM g WHERE fits""",
+        "extractive_compress": f"""WITH RECURSIVE cand AS (SELECT session_id, id, CAST({_EST.format('content')} AS BIGINT) AS size, row_number() OVER (PARTITION BY session_id ORDER BY occurred_at DESC, id) AS k
+FROM (SELECT DISTINCT id, session_id, content, occurred_at FROM memory_events WHERE session_id IS NOT NULL AND content IS NOT NULL)), {sql_budget('session_id', 200)}
+SELECT grp AS session_id, id, CAST(row_number() OVER (PARTITION BY grp ORDER BY k) AS INT) AS newest, used FROM g WHERE fits""",
+        "covered_spans": """WITH d AS (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0), l AS (SELECT doc_id, s * 896 AS a, least(s * 896 + 1024, n) AS b FROM (SELECT *, unnest(range(0, CASE WHEN n <= 1024 THEN 1 ELSE CAST(ceil((n - 1024) / 896) AS BIGINT) + 1 END)) AS s FROM d)),
+k AS (SELECT doc_id, s * 448 AS a, least(s * 448 + 512, n) AS b FROM (SELECT *, unnest(range(0, CASE WHEN n <= 512 THEN 1 ELSE CAST(ceil((n - 512) / 448) AS BIGINT) + 1 END)) AS s FROM d) WHERE s * 448 % 3 <> 0),
+p AS (SELECT *, sum(CASE WHEN a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b) AS island FROM (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM k)),
+m AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM p GROUP BY doc_id, island) SELECT l.doc_id, l.a AS span_start, l.b AS span_end FROM l JOIN m ON l.doc_id = m.doc_id AND m.a <= l.a AND l.b <= m.b""",
         "contained_spans": """WITH d AS (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0), l AS (SELECT doc_id, s * 896 AS a, least(s * 896 + 1024, n) AS b FROM (SELECT *, unnest(range(0, CASE WHEN n <= 1024 THEN 1 ELSE CAST(ceil((n - 1024) / 896) AS BIGINT) + 1 END)) AS s FROM d)),
 k AS (SELECT doc_id, s * 448 AS a, least(s * 448 + 512, n) AS b FROM (SELECT *, unnest(range(0, CASE WHEN n <= 512 THEN 1 ELSE CAST(ceil((n - 512) / 448) AS BIGINT) + 1 END)) AS s FROM d))
 SELECT DISTINCT k.doc_id, k.a AS span_start, k.b AS span_end FROM k JOIN l ON k.doc_id = l.doc_id AND l.a <= k.a AND k.b <= l.b""",
@@ -300,7 +367,7 @@ UNION SELECT b.event_id FROM dead JOIN l a USING (event_id) JOIN l b ON a.claim_
         "best_chunk_per_owner": f"WITH {_CHUNKS}, k AS (SELECT doc_id, span_start, len(list_distinct({sql_terms('chunk')})) AS distinct_terms FROM c) SELECT doc_id, span_start, distinct_terms FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distinct_terms DESC, span_start) AS rn FROM k) WHERE rn = 1",
         "parent_window_expand": f"WITH {_CHUNKS} SELECT doc_id, span_start, greatest(0, span_start - 1792) AS window_start, least(n, greatest(0, span_start - 1792) + 3712) AS window_end FROM c",
         "neighbour_chunks": f'WITH {_CHUNKS} SELECT doc_id, span_start, lag(span_start) OVER w AS "before", lead(span_start) OVER w AS "after" FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY span_start)',
-        "content_anchor_filter": f"WITH a AS (SELECT doc_id, {sql_anchors('text')} AS a FROM documents) SELECT doc_id, len(a) AS anchors, array_to_string(a[1:5], ' ') AS first FROM a",
+        "content_anchor_filter": f"WITH a AS (SELECT doc_id, {sql_anchors('text')} AS a FROM documents) SELECT doc_id, len(a) AS anchors, array_to_string(a, ' ') AS words FROM a",
         "token_estimate_by_lang": f"SELECT lang, count(*) AS n, CAST(sum({_EST.format('text')}) AS BIGINT) AS tokens FROM documents GROUP BY lang",
         "query_coverage": f"WITH {_BM25}, k AS (SELECT query_id, count(*) AS terms FROM q GROUP BY 1) SELECT query_id, doc_id, round(hits / terms, 6) AS coverage FROM s JOIN k USING (query_id)",
         "rarest_anchor": f"WITH {_BM25} SELECT query_id, term, df FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY df) AS r FROM q JOIN f USING (term)) WHERE r = 1",

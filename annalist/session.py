@@ -1,4 +1,4 @@
-"""Sessions and the shared folder for cut lineage."""
+"""Sessions, the shared folder for cut lineage, and tables kept in it."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from contextlib import suppress
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_kept: dict[tuple, DataFrame] = {}
 
 
 def _clean() -> None:
@@ -77,3 +78,18 @@ def written(df: DataFrame, what: str = "step") -> DataFrame:
     _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def kept(spark: SparkSession, what: str, inputs: list[str], make: object) -> DataFrame:
+    """A table made from files once a program and read again while those files (their names, sizes and times) are the same."""
+    seen = []
+    for path in inputs:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    key = (spark.sparkContext.applicationId, what, tuple(sorted(seen)))
+    if key not in _kept:
+        _kept[key] = written(make(), what)
+    return _kept[key]

@@ -1,6 +1,7 @@
 """The operators of the store: edge cases, hot keys, and what SQL can't show."""
 
 import random
+import re
 from datetime import datetime as dt
 
 import pytest
@@ -423,27 +424,89 @@ def test_merged_routes_lend_their_turns():
     assert fusion.merged_routes({"a": 3, "b": 1}, 6)(iter([])) == []
 
 
-def test_marginal_gain_weighs_every_item(spark, tmp_path):
+def test_evidence_pack_by_brute_force():
     r = random.Random(8)
-    few = [(f"i{n:04}", r.choice("xyz"), " ".join(r.choices("abcdefghijkl", k=r.randrange(7))), r.choice([0.5, 0.51, 0.52, r.random()]), r.randrange(1, 9)) for n in range(300)]
-    left, seen, sources, want, used = {x[0]: x for x in few}, set(), set(), [], 0
-    span, everything = max(x[3] for x in few), len(set("".join(x[2] for x in few).replace(" ", "")))
-
-    def gain(x):
-        words = set(x[2].split())
-        new = len(words - seen) / max(1, len(words))
-        return x[3] / span + 0.01 * len(words) / everything + 0.01 * new + 0.005 * (x[1] not in sources) - 0.03 * (1 - new)
-
-    while len(want) < 64 and (fit := [x for x in left.values() if used + x[4] <= 200]):
-        x = left.pop(min(fit, key=lambda x: (-round(gain(x), 12), x[0]))[0])
-        used, seen, sources = used + x[4], seen | set(x[2].split()), sources | {x[1]}
-        want.append((x[0], len(want) + 1, used))
-    assert fusion.marginal_gain(200)(iter(sorted(few, key=lambda x: (-x[3], x[0])))) == want
-    many = [(f"i{n:04}", "x", "a", 1 - n / 10_000, 300) for n in range(2_500)] + [("last", "y", "b", 0.1, 1)]
-    assert fusion.marginal_gain(200)(iter(many)) == [("last", 1, 1)]
+    for trial in range(6):
+        items = [(f"i{n:03}", r.choice([0.5, 0.9, r.random()]), r.randrange(5, 60), f"o{r.randrange(12)}", (lo := r.randrange(50)), lo + r.randrange(1, 50), r.choice("xyz"), " ".join(sorted(set(r.choices("abcdefg", k=r.randrange(4))))), f"i{r.randrange(70):03}" if r.random() < 0.2 else None) for n in range(60)]
+        items.sort(key=lambda x: (-x[1], x[0]))
+        low, high = min(0.0, *(x[1] for x in items)), max(x[1] for x in items)
+        asked = set("".join(x[7] for x in items).replace(" ", ""))
+        tight = sum(x[2] for x in items[:8]) > 200
+        by_id, chosen, used = {x[0]: x for x in items}, [], 0
+
+        def bare(x):
+            return [p for p in range(x[4], x[5]) if not any(c[3] == x[3] and c[4] <= p < c[5] for c in chosen)]
+
+        def unit(x):
+            out = []
+            while x not in chosen:
+                if x in out:
+                    return None
+                out.append(x)
+                if x[8] is None:
+                    break
+                if x[8] not in by_id:
+                    return None
+                x = by_id[x[8]]
+            return [y for y in out if bare(y)]
+
+        def gain(x):
+            mine, seen = set(x[7].split()), set(" ".join(c[7] for c in chosen).split())
+            new = len(mine - seen)
+            again = max((len(mine & set(c[7].split())) / max(1, len(mine)) for c in chosen), default=0)
+            cost = 0.1 * min(1, x[2] / max(1, (200 - used) / (8 - len(chosen)))) if tight else 0
+            return (x[1] - low) / (high - low) + 0.02 * 0.5 * (len(mine) + new) / len(asked) + 0.08 * new / max(1, len(asked - seen)) - 0.08 * again + 0.005 * all(c[6] != x[6] for c in chosen) - 0.03 * (1 - len(bare(x)) / (x[5] - x[4])) - cost
+
+        while len(chosen) < 8:
+            fits = [x for x in items if x not in chosen and (u := unit(x)) and len(chosen) + len(u) <= 8 and used + sum(y[2] for y in u) <= 200]
+            fits = [x for x in fits if (x[1] - low) / (high - low) >= max((y[1] - low) / (high - low) for y in fits) - 0.12]
+            if not fits:
+                break
+            for y in unit(min(fits, key=lambda x: (-round(gain(x), 12), x[0]))):
+                used += y[2]
+                chosen.append(y)
+        assert [x[0] for x in chosen] == [x[0] for x in fusion.evidence_pack(200)(iter(items))], trial
+    assert fusion.evidence_pack(200)(iter([])) == []
+
+
+@pytest.mark.parametrize("hot", [10**6, 7])
+def test_numbered(spark, hot):
+    from annalist.operators.ranks import numbered
+
+    r = random.Random(6)
+    data = [(r.choice(["a", "a", "a", "b", None]), r.choice([None, *range(12)]), i) for i in range(150)]
+    df = spark.createDataFrame(data, "g string, v int, id int")
+    for ties in (False, True):
+        got = numbered(df, ["g"], [F.desc("v"), *([] if ties else ["id"])], "n", ties, hot_rows=hot).collect()
+        for g, v, i in data:
+            key = lambda x: (-(x[1] if x[1] is not None else -1), 0 if ties else x[2])  # noqa: B023, E731
+            before = [x for x in data if x[0] == g and key(x) < key((g, v, i))]
+            assert [x.n for x in got if x.id == i] == [len(before) + 1]
+    assert [x.n for x in numbered(df, [], ["id"], "n", hot_rows=hot).orderBy("id").collect()] == list(range(1, 151))
+    assert numbered(df.limit(0), ["g"], ["id"], "n").count() == 0
+
+
+def test_covered_by_union(spark):
+    r = random.Random(2)
+    spans = [(r.choice("ab"), a, a + r.randrange(0, 12)) for a in (r.randrange(60) for _ in range(40))]
+    asked = [(r.choice("ab"), i, a, a + r.randrange(0, 20)) for i, a in enumerate(r.randrange(60) for _ in range(60))]
+    got = fusion.covered_by_union(spark.createDataFrame(asked, "k string, id int, lo int, hi int"), spark.createDataFrame([*spans, ("a", None, 3)], "k string, lo int, hi int"), ["k"], "lo", "hi")
+    want = [(k, i, a, b) for k, i, a, b in asked if a < b and all(any(s[0] == k and s[1] <= p < s[2] for s in spans) for p in range(a, b))]
+    assert rows(got) == sorted(want, key=repr)
 
-    from annalist.queries import retrieval
 
-    texts = [(n, "w", "s", " ".join(f"t{k:02}" for k in range(60)), 240) for n in range(2)]
-    spark.createDataFrame(texts, "doc_id bigint, workspace_id string, source string, text string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {len(x.words.split()) for x in retrieval._candidates(spark, str(tmp_path)).collect()} == {60}
+def test_excerpts(spark):
+    import math
+
+    r = random.Random(1)
+    for _ in range(30):
+        words = [r.choice(["alpha", "beta", "gamma", "x", "数据", "据"]) for _ in range(60)]
+        text, asked, size = " ".join(words), ["alpha", "gamma", "数据", "gone"], 50
+        at = sorted({(m.start(), t) for t in asked for m in re.finditer(t, text)})
+        starts = sorted({0, *(min(max(0, a - size // 3), len(text) - size) for a, _ in at)})
+        inside = [{t for a, t in at if s <= a and a + len(t) <= s + size} for s in starts]
+        weight = {t: math.log1p((len(starts) + 0.5) / (sum(t in x for x in inside) + 0.5)) for t in asked}
+        best = max(range(len(starts)), key=lambda i: (round(sum(weight[t] for t in inside[i]), 9), -starts[i]))
+        assert search.excerpt(text, asked, size) == (starts[best], starts[best] + size)
+    df = spark.createDataFrame([(1, "short", ["a"]), (2, None, ["a"]), (3, "", None), (4, "z " * 40 + "Alpha", ["alpha"])], "id int, t string, a array<string>")
+    assert rows(search.excerpts(df, ["id"], "t", "a", 20)) == [(1, 0, 5), (4, 65, 85)]
