@@ -102,3 +102,29 @@ def reconciled(expected: DataFrame, actual: DataFrame, keys: list[str], value: s
     both = e.join(a, keys, "full_outer")
     problem = F.when(F.col("_ha").isNull(), "missing").when(F.col("_he").isNull(), "unexpected").when(~F.col("_e").eqNullSafe(F.col("_a")), "mismatch")
     return both.select(*keys, problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def run_arms(items: DataFrame, key: str, arms: dict[str, object], score: object) -> DataFrame:
+    """Every arm on every item: arm, key, status (completed, empty or failed), score (null unless completed).
+
+    An arm is a function of the items; an arm that raises has failed on all of them, and an item it gives nothing for is empty. score(items, found)
+    gives key and score. Items are repeated once per arm as rows of a plan; arms are few and named by the caller.
+    """
+    out = None
+    for name, call in arms.items():
+        status, made = "empty", None
+        try:
+            made = score(items, call(items)).select(key, "score")
+        except Exception:  # noqa: BLE001
+            status = "failed"
+        plan = items.select(key).withColumn("arm", F.lit(name))
+        plan = plan.withColumn("score", F.lit(None).cast("double")) if made is None else plan.join(made, key, "left")
+        plan = plan.select("arm", key, F.when(F.col("score").isNotNull(), "completed").otherwise(status).alias("status"), F.col("score").cast("double").alias("score"))
+        out = plan if out is None else out.unionByName(plan)
+    return out
+
+
+def arm_means(results: DataFrame) -> DataFrame:
+    """Per arm how many runs were planned and completed, and the mean score over both: a run that wasn't completed counts as 0 of the planned."""
+    per = results.groupBy("arm").agg(F.count("*").alias("planned"), F.count("score").alias("completed"), F.avg(F.coalesce("score", F.lit(0.0))).alias("a"), F.avg("score").alias("b"))
+    return per.select("arm", "planned", "completed", F.round("a", 6).alias("planned_mean"), F.round("b", 6).alias("completed_mean"))

@@ -252,7 +252,7 @@ def interval_arithmetic_answers(spark: SparkSession, d: str) -> DataFrame:
 def identities(spark: SparkSession, d: str) -> DataFrame:
     """Digest and name-based UUID of each claim."""
     rows = table(spark, d, "claims", "id", "claim_key", "value_json").filter("id IS NOT NULL").distinct()
-    return rows.select("id", digest("id", "claim_key", "value_json").alias("digest"), F.substring(calc.named_uuid(F.col("id")), 15, 1).alias("uuid_version"), F.length(calc.named_uuid(F.col("id"))).alias("uuid_length"))
+    return rows.select("id", digest("id", "claim_key", "value_json").alias("digest"), calc.named_uuid(F.col("id")).alias("uuid"))
 
 
 def clipped_text(spark: SparkSession, d: str) -> DataFrame:
@@ -347,7 +347,8 @@ SELECT event_id, event_type, CASE WHEN event_type = 'click' THEN v ELSE c END AS
         "late_parent_pending": """WITH o AS (SELECT id, min(created_at) AS t, min(supersedes) AS s FROM claims GROUP BY id) SELECT a.id, CASE WHEN b.id IS NULL THEN 'pending' WHEN b.t > a.t THEN 'late' ELSE 'accepted' END AS state FROM o a LEFT JOIN o b ON b.id = a.s WHERE a.s IS NOT NULL""",
         "interval_arithmetic_answers": """WITH l AS (SELECT l_orderkey, min(l_shipdate)::DATE AS lo, max(l_shipdate)::DATE AS hi FROM lineitem GROUP BY 1), r AS (SELECT o_orderkey, o_orderdate::DATE AS day, lo, hi, o_orderdate::DATE + 30 AS lim FROM orders JOIN l ON o_orderkey = l_orderkey)
 SELECT o_orderkey, lo - day AS least_days, hi - day AS most_days, (year(hi) * 12 + month(hi)) - (year(day) * 12 + month(day)) AS months, CASE WHEN hi < lim THEN 'before' WHEN lo > lim THEN 'after' WHEN lo = hi AND lo = lim THEN 'same' END AS against_limit, date_trunc('month', lo) = lo AND last_day(lo) = hi AS full_month FROM r""",
-        "identities": """SELECT DISTINCT id, sha256(concat(length(id) || ':' || id, coalesce(length(claim_key) || ':' || claim_key, '-'), coalesce(length(value_json) || ':' || value_json, '-'))) AS digest, '5' AS uuid_version, 36 AS uuid_length FROM claims WHERE id IS NOT NULL""",
+        "identities": """SELECT DISTINCT id, sha256(concat(length(id) || ':' || id, coalesce(length(claim_key) || ':' || claim_key, '-'), coalesce(length(value_json) || ':' || value_json, '-'))) AS digest,
+substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (CAST(('0x' || substr(h, 17, 1)) AS INT) % 4) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(id)) AS h FROM claims WHERE id IS NOT NULL)""",
         "attribution_risks": r"""SELECT DISTINCT id, array_to_string(list_filter([CASE WHEN regexp_matches(content, '["“”«»]') THEN 'quoted' END, CASE WHEN regexp_matches(content, '(?i)\b(if|would|could|might|falls)\b') THEN 'hypothetical' END, CASE WHEN regexp_matches(content, '(?i)\b(he|she|they) (said|says|wants)\b') THEN 'third_party' END], lambda x: x IS NOT NULL), ',') AS risks FROM memory_events WHERE event_type = 'user.message' AND content IS NOT NULL""",
         "top_customers_by_region": """SELECT r_name, c_mktsegment, round(sum(rev), 2) AS revenue, count(*) AS orders FROM (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS rev FROM lineitem GROUP BY 1) JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""",
     }
