@@ -144,15 +144,29 @@ def conversations(turns: DataFrame, cuts: Cuts | None = None, **hot: int) -> Dat
 
 
 def _follow_replies(rows: DataFrame) -> DataFrame:
-    """Moves each turn of a huge session to the shard of what it replies to if that is later, until none moves."""
+    """Moves each turn of a huge session to the latest shard of all it replies to, directly or through others.
+
+    By pointer jumping: in each round a turn takes over the shard of the turn it points to and then points as far as that one does, so
+    rounds grow with the logarithm of the longest chain of replies. A round that moves no turn is the last, also on cycles.
+    """
     from annalist.session import written
 
+    huge = rows.filter("shard IS NOT NULL")
+    known = huge.select("session_id", F.col("event_id").alias("_to")).distinct()
+    points = huge.filter("reply_to IS NOT NULL").select("session_id", "event_id", F.col("reply_to").alias("_to")).join(known, ["session_id", "_to"])
+    state = written(huge.select("session_id", "event_id", "shard").join(points, ["session_id", "event_id"], "left"), "replies")
+    if state.filter("_to IS NOT NULL").isEmpty():
+        return rows
+    moved = state
     while True:
-        parents = rows.filter("shard IS NOT NULL").select(F.col("session_id").alias("_s"), F.col("event_id").alias("_e"), F.col("shard").alias("_p"))
-        moved = rows.join(parents, (F.col("session_id") == F.col("_s")) & (F.col("reply_to") == F.col("_e")), "left").withColumn("_to", F.greatest("shard", "_p"))
-        if moved.filter("shard < _to").limit(1).count() == 0:
-            return rows
-        rows = written(moved.withColumn("shard", F.coalesce("_to", "shard")).drop("_s", "_e", "_p", "_to"), "replies")
+        target = moved.select("session_id", F.col("event_id").alias("_to"), F.col("shard").alias("_p"), F.col("_to").alias("_next"))
+        step = moved.join(target, ["session_id", "_to"], "left").select("session_id", "event_id", F.greatest("shard", "_p").alias("shard"), F.col("_next").alias("_to"), (F.col("_p") > F.col("shard")).alias("_moved"))
+        step = written(step, "replies")
+        moved = step.drop("_moved")
+        if step.filter("_moved").isEmpty():
+            break
+    moved = moved.groupBy("session_id", "event_id").agg(F.max("shard").alias("_s"))
+    return rows.join(moved, ["session_id", "event_id"], "left").withColumn("shard", F.coalesce("_s", "shard")).drop("_s").select(*rows.columns)
 
 
 def pilot_turns(messages: DataFrame, events: DataFrame, expected: tuple[str, ...] = ("user.message", "agent.model.completed")) -> DataFrame:

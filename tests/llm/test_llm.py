@@ -121,6 +121,17 @@ def test_replies_decide_the_order(spark, hot):
     assert conversations(df.limit(0)).count() == 0
 
 
+def test_long_chains_of_replies_and_cycles_over_shards(spark):
+    r = random.Random(3)
+    chain = [(f"e{i:03}", r.randrange(1000)) for i in range(120)]
+    rows = [("s", e, at, (1, 3)[i % 2], f"e{i - 1:03}" if i else None, False) for i, (e, at) in enumerate(chain)]
+    cycle = [("c", f"k{i}", 10 * i, (1, 3)[i % 2], f"k{(i + 1) % 30}", False) for i in range(30)]
+    schema = "session_id string, event_id string, at_us bigint, rank int, reply_to string, missing boolean"
+    for hot in ({"hot_rows": 10**6}, {"hot_rows": 7}):
+        got = conversations(spark.createDataFrame(rows + cycle, schema), **hot).orderBy("turn_no").collect()
+        assert [(x.session_id, x.event_id) for x in got] == [("s", e) for e, _ in chain]
+
+
 def test_pack_group_best_fit():
     r = random.Random(1)
     items = [(r.randrange(0, 256), i) for i in range(3000)]
