@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.operators.ranks import carried
+
 
 def episodes(events: DataFrame, keys: list[str], order: list[str], kind: str) -> DataFrame:
     """Events gathered by the first key that isn't null: episode, n, first and last instant, last kind, kinds seen.
@@ -16,10 +18,9 @@ def episodes(events: DataFrame, keys: list[str], order: list[str], kind: str) ->
     return rows.groupBy("episode").agg(F.count("*").alias("n"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.max_by(kind, F.struct(*order)).alias("outcome"), F.array_join(F.array_sort(F.collect_set(kind)), ",").alias("kinds"))
 
 
-def latest_parent(rows: DataFrame, keys: list[str], order: list[str], is_parent: Column, ident: str) -> DataFrame:
-    """Each row with the last parent row before it of its keys (an as-of join as one window; null if there is none)."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("parent", F.last(F.when(is_parent, F.col(ident)), True).over(w))
+def latest_parent(rows: DataFrame, keys: list[str], order: list[str], is_parent: Column, ident: str, **hot: int) -> DataFrame:
+    """Each row with the last parent row before it of its keys (an as-of join as one pass; null if there is none)."""
+    return carried(rows, keys, order, F.when(is_parent, F.col(ident)), "parent", **hot)
 
 
 def procedures(runs: DataFrame, action: str, success: str, quality: str, ident: str, least_support: int) -> DataFrame:

@@ -13,10 +13,15 @@ from annalist.operators.sweep import by_group, stream_groups
 # Our own patterns for what must not be stored in the open: name, severity, pattern, what replaces it.
 PATTERNS = (
     ("private_key", "critical", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "[KEY]"),
+    ("cloud_key", "critical", r"(?:AKIA|ASIA)[0-9A-Z]{16}", "[KEY]"),
+    ("api_secret", "critical", r"sk-[A-Za-z0-9_-]{20,}", "[KEY]"),
+    ("forge_token", "high", r"(?:gh[pousr]|github_pat)_[A-Za-z0-9_]{20,255}", "[TOKEN]"),
+    ("assigned_key", "high", r"(?i)(?:api|secret|access)[_-]?(?:secret|token|key) *[:=] *[\"']?[A-Za-z0-9_-]{16,}", "[SECRET]"),
     ("bearer", "critical", r"(?i)\bbearer [A-Za-z0-9._-]{16,}", "[BEARER]"),
     ("secret_field", "high", r"(?i)\b(?:password|passwd|secret|api_key|token) ?[=:] ?[^ ,;]{6,}", "[SECRET]"),
     ("url_login", "high", r"://[^/ :@]+:[^/ @]+@", "://[LOGIN]@"),
     ("email", "medium", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}", "[EMAIL]"),
+    ("mobile_number", "low", r"\b1[3-9][0-9]{9}\b", "[PHONE]"),
     ("long_number", "low", r"[0-9]{12,19}", "[NUMBER]"),
 )
 
@@ -29,6 +34,23 @@ def scanned(rows: DataFrame, text: str) -> DataFrame:
     return one.select(F.explode(stack).alias("x")).select("x.*")
 
 
+def leaks(rows: DataFrame, key: str, text: str, allowed: DataFrame | None = None) -> DataFrame:
+    """What the patterns find, by fingerprint: pattern, severity, fingerprint (SHA-256 of pattern and match), rows, and the least key as a sample.
+
+    The matches themselves are not given. Fingerprints in allowed (fingerprint) are known and left out. Aggregated before anything moves, so a
+    secret that stands in very many rows is one group.
+    """
+    found = F.flatten(F.array(*(_hits(text, n, s, p) for n, s, p, _ in PATTERNS)))
+    out = rows.filter(F.col(text).isNotNull()).select(key, F.explode(F.array_distinct(found)).alias("f"))
+    mark = F.sha2(F.concat_ws(":", "f.pattern", "f.m"), 256)
+    out = out.groupBy("f.pattern", "f.severity", mark.alias("fingerprint")).agg(F.count("*").alias("rows"), F.min(key).alias("sample"))
+    return out if allowed is None else out.join(allowed.select("fingerprint").distinct(), "fingerprint", "left_anti").select(*out.columns)
+
+
+def _hits(text: str, name: str, severity: str, pattern: str) -> Column:
+    return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(name).alias("pattern"), F.lit(severity).alias("severity"), m.alias("m")))
+
+
 def redacted(text: str | Column) -> Column:
     """The text with every pattern's matches replaced, in the order of the patterns."""
     out = F.col(text) if isinstance(text, str) else text

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.operators.ranks import in_ranges, largest_group
 from annalist.operators.sweep import by_group, sized, stream_groups
+from annalist.operators.timeshards import HOT_ROWS
 from annalist.session import written
 
 
@@ -181,29 +183,36 @@ def valid_from_roots(nodes: DataFrame, needs: DataFrame, cut_every: int = 3) ->
     return state.select("id").join(good.withColumn("valid", F.lit(True)), "id", "left").fillna(False, ["valid"])
 
 
-def contradictions(facts: DataFrame, keys: list[str], value: str, lo: str, hi: str, name: str) -> DataFrame:
+def contradictions(facts: DataFrame, keys: list[str], value: str, lo: str, hi: str, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Facts of one key whose closed intervals touch while their values differ: keys and name of each such fact.
 
     Two passes over sorted groups, by start and by falling start, that keep the two furthest ends (nearest starts) of
-    different values: no pair is made, and a huge group needs no more memory than a small one.
+    different values: no pair is made, and a huge group needs no more memory than a small one. A key of more than hot_rows facts is
+    cut into ranges that are swept side by side; each begins with the two furthest ends of those before it.
     """
-    schema = pa.schema([*((k, pa.string()) for k in keys), (name, pa.string())])
-    ddl = ", ".join(f"{k} string" for k in [*keys, name])
-    n = len(keys)
-
-    def against(sign: int) -> object:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+    types = dict(facts.dtypes)
+    found = pa.schema([*((k, kinds[types[k]]) for k in keys), (name, kinds[types[name]])])
+    summary = pa.schema([("_part", pa.int32()), *((k, kinds[types[k]]) for k in keys), ("_end", pa.int64()), ("_value", kinds[types[value]])])
+    ddl = lambda schema: ", ".join(f"`{f.name}` {next(k for k, v in kinds.items() if v == f.type)}" for f in schema)
+    n = len(keys) + 1
+
+    def swept(emit: bool) -> object:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            schema = found if emit else summary
             out: list[tuple] = []
             for key, rows in stream_groups(batches, n):
-                best: list[tuple[int, str]] = []  # at most two, of different values, furthest first
-                for r in rows:
-                    a, b, v, who = r[n:]
-                    near, far = (a, b) if sign > 0 else (-b, -a)
-                    other = next((e for e, w in best if w != v), None)
-                    if other is not None and other >= near:
-                        out.append((*key, who))
-                    best = sorted({w: max(e for e, x in [*best, (far, v)] if x == w) for w in {v, *(w for _, w in best)}}.items(), key=lambda x: -x[1])[:2]
-                    best = [(e, w) for w, e in best]
+                best: list[tuple[int, object]] = []  # at most two, of different values, furthest first
+                for near, far, v, who in (r[n : n + 4] for r in rows):
+                    if emit and near is not None:
+                        other = next((e for e, w in best if w != v), None)
+                        if other is not None and other >= near:
+                            out.append((*key[1:], who))
+                    ends = {w: e for e, w in best}
+                    ends[v] = max(far, ends.get(v, far))
+                    best = sorted(((e, w) for w, e in ends.items()), key=lambda x: -x[0])[:2]
+                if not emit:
+                    out += [(*key, e, w) for e, w in best]
                 if len(out) > 20_000:
                     yield from sized(out, schema)
                     out = []
@@ -211,9 +220,26 @@ def contradictions(facts: DataFrame, keys: list[str], value: str, lo: str, hi: s
 
         return run
 
-    rows = facts.select(*keys, lo, hi, value, name)
-    ahead = by_group(rows, keys, [F.col(lo), F.col(name)]).mapInArrow(against(1), ddl)
-    back = by_group(rows, keys, [F.desc(lo), F.desc(name)]).mapInArrow(against(-1), ddl)
+    most = largest_group(facts, keys)
+
+    def against(at: Column, near: Column, far: Column, tie: Column) -> DataFrame:
+        rows = facts.select(*keys, at.cast("bigint").alias("_at"), near.cast("bigint").alias("_near"), far.cast("bigint").alias("_far"), F.col(value).alias("_value"), F.col(name).alias("_who"))
+        columns = ["_part", *keys, "_near", "_far", "_value", "_who", "_at"]
+        rows = rows.withColumn("_part", F.lit(0)) if most <= hot_rows else in_ranges(rows, keys, ["_at", tie], most, hot_rows)
+        rows = rows.select(*columns)
+        if most > hot_rows:
+            ends = by_group(rows, ["_part", *keys], ["_at", tie]).mapInArrow(swept(False), ddl(summary))
+            later = rows.select(F.col("_part").alias("_to"), *(F.col(k).alias(f"_k_{k}") for k in keys)).distinct()
+            same = [F.col("_part") < F.col("_to"), *(F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys)]
+            before = ends.join(later, same).groupBy("_to", *keys, "_value").agg(F.max("_end").alias("_far"))  # two rows a part and key at most
+            w = Window.partitionBy("_to", *keys).orderBy(F.desc("_far"), "_value")
+            before = before.withColumn("_n", F.row_number().over(w)).filter("_n <= 2")
+            none = F.lit(None)
+            rows = rows.unionByName(before.select(F.col("_to").alias("_part"), *keys, none.cast("bigint").alias("_near"), "_far", "_value", none.cast(types[name]).alias("_who"), none.cast("bigint").alias("_at")))
+        return by_group(rows, ["_part", *keys], [F.asc_nulls_first("_at"), tie]).mapInArrow(swept(True), ddl(found))
+
+    ahead = against(F.col(lo), F.col(lo), F.col(hi), F.asc("_who"))
+    back = against(-F.col(lo), -F.col(hi), -F.col(lo), F.desc("_who"))
     return ahead.unionByName(back).distinct()
 
 

@@ -7,6 +7,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.operators.ranks import carried
+
 from annalist.functions.text import digest
 
 #: The coordinates of a scope below tenant and namespace, each narrower than the one before (fixed value).
@@ -75,3 +77,16 @@ def fully_supported(owners: DataFrame, links: DataFrame, alive: DataFrame, owner
 def keep_last(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The rows of each key that are not among its last n: what an archive may take."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") > n).drop("_n")
+
+
+def granted(reads: DataFrame, grants: DataFrame, keys: list[str]) -> DataFrame:
+    """The reads that a grant covers: of the grants of their keys the last one before the read decides, and whether it still runs.
+
+    reads: keys, id, at_us; grants: keys, at_us, until_us (null: no end; not after at_us: a withdrawal). Found in one ordered pass over both, so a
+    reader with very many grants makes no pairs. At equal instants the grant counts.
+    """
+    given = grants.select(*keys, "at_us", F.lit(0).alias("_read"), F.lit(None).cast(dict(reads.dtypes)["id"]).alias("id"), F.struct(F.coalesce("until_us", F.lit(2**62)).alias("u")).alias("_g"))
+    given = given.groupBy(*keys, "at_us", "_read", "id").agg(F.min("_g").alias("_g"))
+    asked = reads.select(*keys, "at_us", F.lit(1).alias("_read"), "id", F.lit(None).cast("struct<u: bigint>").alias("_g"))
+    both = carried(given.unionByName(asked), keys, ["at_us", "_read", "id"], F.col("_g"), "_until")
+    return both.filter((F.col("_read") == 1) & (F.col("_until.u") > F.col("at_us"))).select(*keys, "id", "at_us", F.when(F.col("_until.u") < 2**62, F.col("_until.u")).alias("until_us"))

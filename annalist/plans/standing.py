@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -51,13 +52,38 @@ class StandingQuestions:
         return found[0]
 
     def signature(self, name: str) -> str:
-        """A digest of what a question or table is made of, independent of the order of rows."""
+        """A digest of what a question or table is made of: of the files of a table (names, sizes, times), which are listed and not read.
+
+        Only the rows of a table that comes from no files are digested themselves, whatever their order.
+        """
         if name in self.questions:
             return json.dumps([name, *(self.signature(i) for i in self.questions[name].inputs)])
         rows = self.tables[name]
+        files = rows.inputFiles()
+        if files:
+            seen = []
+            for f in files:
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(f)
+                status = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(where)
+                seen.append(f"{f}:{status.getLen()}:{status.getModificationTime()}")
+            return f"{name}:{hashlib.sha256(chr(10).join(sorted(seen)).encode()).hexdigest()}"
         r = rows.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*rows.columns)).alias("x"), F.sum(F.pmod(F.xxhash64(*rows.columns), F.lit(2**31 - 1))).alias("s")).collect()[0]
         return f"{name}:{r.n}:{r.x}:{r.s}"
 
+    def certificate(self, asked: str) -> dict:
+        """What an answer was made of: its name and version, the signature of its inputs, and the names of the tables behind it."""
+        question = self.route(asked)
+        tables: set[str] = set()
+        waiting = list(question.inputs)
+        while waiting:
+            name = waiting.pop()
+            if name in self.questions:
+                waiting += self.questions[name].inputs
+            else:
+                tables.add(name)
+        version = VersionedTable(self.spark, f"{self.path}/{question.name}").current()
+        return {"question": question.name, "version": version, "signature": self.signed.get(question.name), "tables": sorted(tables), "current": self.signed.get(question.name) == self.signature(question.name)}
+
     def read(self, asked: str) -> DataFrame:
         """The answer; made again, with what it depends on, only if an input changed since it was made."""
         question = self.route(asked)

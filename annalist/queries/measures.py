@@ -288,7 +288,7 @@ def oracle_sql() -> dict[str, str]:
 
     tools = "t AS (SELECT DISTINCT id, tenant_id, event_type, content FROM memory_events WHERE event_type IN ('agent.tool.completed', 'tool.failed'))"
     late = "e AS (SELECT id, event_type, occurred_at, ingested_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at) AS rn FROM memory_events) WHERE rn = 1), l AS (SELECT event_type, epoch_us(ingested_at) - epoch_us(occurred_at) AS late_us, epoch_us(occurred_at) >= 1780272000000000 AS after FROM e)"
-    pats = governance.PATTERNS
+    pats = [(n, s, p.replace("'", "''"), r) for n, s, p, r in governance.PATTERNS]
     scan = " UNION ALL ".join(f"SELECT '{n}' AS pattern, '{s}' AS severity, count(*) FILTER (regexp_matches(t, '{p}')) AS rows, coalesce(CAST(sum(len(regexp_extract_all(t, '{p}'))) AS BIGINT), 0) AS matches FROM x" for n, s, p, _ in pats)
     red = "content"
     for _, _, p, r in pats:

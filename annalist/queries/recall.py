@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from annalist.functions import atoms
 from annalist.functions import questions as Q
 from annalist.functions import text as T
 from annalist.functions.text import digest
 from annalist.functions.time import DAY_US, NO_END, micros
-from annalist.operators import consolidate, evaluate, evidence, fusion, ontology, rules, search, vectors
-from annalist.operators.counted import plain_key
+from annalist.operators import consolidate, evaluate, evidence, fusion, governance, ontology, rules, scope, search, vectors
 from annalist.operators.ledger import SLOT
 from annalist.queries import retrieval
 from annalist.queries.histories import _ledger_of
@@ -243,7 +243,29 @@ def experiment_arms(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.arm_means(out)
 
 
-NAMES = (query_clauses, query_facets, governed_recall, evidence_proofs, evidence_branch_score, claim_projection, queue_state, queue_leases, episode_attachments, episode_rewards, procedure_candidates, composed_view, contextual_view, admission_batches, experiment_arms)
+def atom_statements(spark: SparkSession, d: str) -> DataFrame:
+    """What users state about themselves, in English or Chinese."""
+    said = _questions(spark, d).select("id", F.explode(F.array_distinct(atoms.sentences("content"))).alias("sentence"))
+    return said.select("id", "sentence", atoms.statement("sentence").alias("s")).filter("s IS NOT NULL").select("id", "sentence", "s.predicate", "s.modality", "s.retention", "s.value")
+
+
+def granted_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Reads of a user's context that a grant covers: one of 30 days with each changed preference, withdrawn by a failed tool."""
+    rows = table(spark, d, "memory_events", "id", "user_id", "event_type", "occurred_at").filter("id IS NOT NULL AND user_id IS NOT NULL")
+    once = rows.groupBy("id").agg(F.min(F.struct("user_id", "event_type", "occurred_at")).alias("e")).select("id", "e.user_id", "e.event_type", micros("e.occurred_at").alias("at_us"))
+    until = F.when(F.col("event_type") == "preference.changed", F.col("at_us") + 30 * DAY_US).otherwise(F.col("at_us"))
+    grants = once.filter(F.col("event_type").isin("preference.changed", "tool.failed")).select("user_id", "at_us", until.alias("until_us"))
+    return scope.granted(once.filter("event_type = 'memory.context.read'"), grants, ["user_id"]).select("user_id", "id", "until_us")
+
+
+def leak_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """What the patterns for secrets find in events, by fingerprint, without what documents are known to hold."""
+    events = table(spark, d, "memory_events", "id", "content").filter("id IS NOT NULL").distinct()
+    known = governance.leaks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    return governance.leaks(events, "id", "content", known)
+
+
+NAMES = (atom_statements, granted_reads, leak_fingerprints, query_clauses, query_facets, governed_recall, evidence_proofs, evidence_branch_score, claim_projection, queue_state, queue_leases, episode_attachments, episode_rewards, procedure_candidates, composed_view, contextual_view, admission_batches, experiment_arms)
 
 
 def queries() -> dict:
@@ -292,7 +314,15 @@ live AS (SELECT * FROM x WHERE event_type IN ('agent.tool.completed', 'tool.fail
 o AS (SELECT user_id, session_id, id FROM live WHERE session_id IS NOT NULL UNION SELECT d.user_id, d.session_id, live.id FROM live JOIN d ON d.user_id = live.user_id AND d.id = live.decision_id UNION SELECT p.user_id, p.session_id, id FROM live JOIN only_one p ON p.user_id = live.user_id WHERE live.session_id IS NULL)"""
     ledger = histories.oracle_sql()["p1_ledger"]
     decisions = state.oracle_sql()["admission_decisions"]
+    stated = " ".join(f"WHEN regexp_full_match(sentence, '{p.replace(chr(39), chr(39) * 2)}') THEN {{'predicate': '{a}', 'modality': '{b}', 'retention': '{c}', 'value': trim(regexp_extract(sentence, '^{p.replace(chr(39), chr(39) * 2)}$', 1))}}" for a, b, c, p in atoms.RULES)
+    leaks = lambda t, k, c: " UNION ALL ".join(f"SELECT '{n}' AS pattern, '{s}' AS severity, {k} AS k, unnest(list_distinct(regexp_extract_all({c}, '{p.replace(chr(39), chr(39) * 2)}'))) AS m FROM {t}" for n, s, p, _ in governance.PATTERNS)
     return {
+        "atom_statements": f"""WITH {said}, s AS (SELECT DISTINCT id, trim(unnest(regexp_split_to_array(content, '{atoms.ENDS}'))) AS sentence FROM m), f AS (SELECT id, sentence, CASE {stated} END AS f FROM s WHERE sentence <> '')
+SELECT id, sentence, f.predicate, f.modality, f.retention, f.value FROM f WHERE f IS NOT NULL""",
+        "granted_reads": """WITH e AS (SELECT DISTINCT id, user_id, event_type, epoch_us(occurred_at) AS t FROM memory_events WHERE id IS NOT NULL AND user_id IS NOT NULL), g AS (SELECT user_id, t, min(CASE WHEN event_type = 'preference.changed' THEN t + 2592000000000 ELSE t END) AS u FROM e WHERE event_type IN ('preference.changed', 'tool.failed') GROUP BY ALL)
+SELECT r.user_id, r.id, g.u AS until_us FROM (SELECT * FROM e WHERE event_type = 'memory.context.read') r ASOF JOIN g ON r.user_id = g.user_id AND r.t >= g.t WHERE g.u > r.t""",
+        "leak_fingerprints": f"""WITH ev AS (SELECT DISTINCT id, content FROM memory_events WHERE id IS NOT NULL AND content IS NOT NULL), dc AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), a AS ({leaks('ev', 'id', 'content')}), b AS ({leaks('dc', 'doc_id', 'text')})
+SELECT pattern, severity, sha256(pattern || ':' || m) AS fingerprint, count(*) AS rows, min(k) AS sample FROM a WHERE pattern || ':' || m NOT IN (SELECT pattern || ':' || m FROM b) GROUP BY ALL""",
         "query_clauses": f"WITH {said}, c AS (SELECT id, {_sql_clauses('content')} AS c FROM m) SELECT id, CAST(i AS INT) AS clause_no, c[i + 1] AS clause FROM c, range(10000) r(i) WHERE i < len(c)",
         "query_facets": f"""WITH {said}, b AS (SELECT * FROM m UNION ALL SELECT 'd' || doc_id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'q' || id, 'How many did I buy: ' || content FROM m),
 t AS (SELECT id, replace(lower(content), 'ß', 'ss') AS low, {sql_terms('content')} AS w, {sql_anchors('content').replace('list_sort(', '(')} AS a FROM b), f AS (SELECT id, CASE {facets} END AS f FROM t)

@@ -247,6 +247,7 @@ def test_contradictions(spark):
     df = spark.createDataFrame(facts, "key string, id string, value string, lo bigint, hi bigint")
     want = sorted({(x[0], x[1]) for x in facts for y in facts if x[0] == y[0] and x[2] != y[2] and x[3] <= y[4] and y[3] <= x[4]})
     assert rows(graph.contradictions(df, ["key"], "value", "lo", "hi", "id")) == want
+    assert rows(graph.contradictions(df, ["key"], "value", "lo", "hi", "id", hot_rows=7)) == want
     assert graph.contradictions(df.limit(0), ["key"], "value", "lo", "hi", "id").count() == 0
 
 
@@ -486,6 +487,24 @@ def test_numbered(spark, hot):
     assert numbered(df.limit(0), ["g"], ["id"], "n").count() == 0
 
 
+@pytest.mark.parametrize("hot", [10**6, 7])
+def test_carried(spark, hot):
+    from annalist.operators.ranks import carried
+
+    r = random.Random(8)
+    data = [(r.choice(["a", "a", "a", "b", None]), r.randrange(40), i, r.choice([None, None, f"v{i}"])) for i in range(150)]
+    got = carried(spark.createDataFrame(data, "g string, t int, id int, v string"), ["g"], ["t", "id"], F.col("v"), "before", hot_rows=hot).collect()
+    for g, t, i, _ in data:
+        earlier = [x for x in data if x[0] == g and x[1:3] < (t, i) and x[3] is not None]
+        assert [x.before for x in got if x.id == i] == [max(earlier, key=lambda x: x[1:3])[3] if earlier else None]
+
+
+def test_grants_run_out_or_are_withdrawn(spark):
+    reads = spark.createDataFrame([("u", f"r{t}", t) for t in (1, 5, 9, 12, 20, 30)] + [("v", "x", 3)], "u string, id string, at_us bigint")
+    grants = spark.createDataFrame([("u", 5, 10), ("u", 11, 11), ("u", 15, None), ("u", 25, 28)], "u string, at_us bigint, until_us bigint")
+    assert rows(scope.granted(reads, grants, ["u"])) == [("u", "r20", 20, None), ("u", "r5", 5, 10), ("u", "r9", 9, 10)]
+
+
 def test_covered_by_union(spark):
     r = random.Random(2)
     spans = [(r.choice("ab"), a, a + r.randrange(0, 12)) for a in (r.randrange(60) for _ in range(40))]
