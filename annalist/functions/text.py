@@ -56,9 +56,13 @@ def anchors(text: str | Column) -> Column:
         plain = F.filter(words, lambda t: ~t.isin(*ARTICLES))
         return F.when(F.size(plain) > 0, plain).otherwise(words)
 
-    quoted = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(QUOTED), F.lit(0)), kept_in))
+    column = F.col(text) if isinstance(text, str) else text
+    none = F.array().cast("array<string>")
+    quoted = F.when(column.rlike('["\u201c\u2018]'), F.flatten(F.transform(F.regexp_extract_all(text, F.lit(QUOTED), F.lit(0)), kept_in))).otherwise(none)
     topical = lambda t: ~t.isin(*FUNCTION_WORDS, *NEGATIONS) & ~t.rlike("^[0-9]+$")
-    return F.filter(F.array_distinct(terms(text)), lambda t: topical(t) | F.array_contains(quoted, t))
+    # within the outer transform so that it is computed once a text, not once a term
+    kept = F.transform(F.array(quoted), lambda q: F.filter(F.array_distinct(terms(text)), lambda t: topical(t) | (F.size(q) > 0) & F.array_contains(q, t)))
+    return F.when(column.isNotNull(), kept[0])
 
 
 def token_estimate(text: str | Column) -> Column:

@@ -21,6 +21,8 @@ K1, B = 1.2, 0.75
 CHUNK, STRIDE = 1024, 896
 # Queries that a task scores side by side.
 QUERY_BLOCK = 4096
+# Terms of a block that are added up as a matrix, at most.
+MOST_SHARED = 2048
 
 
 def chunks(texts: DataFrame, key: str, text: str, size: int = CHUNK, stride: int = STRIDE) -> DataFrame:
@@ -108,7 +110,10 @@ def bm25_indexed(indexed: DataFrame, key: str, queries: DataFrame, n: int, mean:
 
 
 class _Block:
-    """The queries of one block, as lists of the queries that ask for each term."""
+    """The queries of one block: lists of the queries that ask for each term, and a matrix of the terms that many of them ask for.
+
+    Where many queries share a term, a product of matrices adds up its scores far faster than going through the list would.
+    """
 
     def __init__(self, rows: pa.Table) -> None:
         terms = rows["terms"].combine_chunks()
@@ -118,7 +123,17 @@ class _Block:
         self.ids, self.size, self.known = rows["query_id"].combine_chunks(), rows["size"].to_numpy(), coded.dictionary
         self.query = np.repeat(np.arange(len(lens)), lens)[order]
         self.idf = _weights(rows)[order]
-        self.at = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(self.known)))])
+        asked = np.bincount(codes, minlength=len(self.known))
+        self.at = np.concatenate([[0], np.cumsum(asked)])
+        shared = np.argsort(-asked, kind="stable")[:MOST_SHARED]
+        shared = shared[asked[shared] >= max(4, len(lens) / 24)]
+        self.dense = np.full(len(self.known), -1)  # the row of a shared term in the matrix
+        self.dense[shared] = np.arange(len(shared))
+        self.matrix = np.zeros((len(shared), len(lens)))
+        for row, term in enumerate(shared):
+            span = slice(self.at[term], self.at[term + 1])
+            self.matrix[row, self.query[span]] = self.idf[span]
+        self.asks = (self.matrix > 0).astype(np.float32)
 
 
 def _weights(rows: pa.Table) -> np.ndarray:
@@ -192,15 +207,22 @@ def _pairs(block: _Block, part: pa.Table, key: str, share: float, least: np.ndar
     for first in range(0, part.num_rows, step):
         m = min(step, part.num_rows - first)
         lo, hi = np.searchsorted(row, [first, first + m])
-        c = codes[lo:hi]
-        n = block.at[c + 1] - block.at[c]
-        total = int(n.sum())
-        if not total:
+        if lo == hi:
             continue
-        where = np.repeat(block.at[c] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(total)
-        cell = np.repeat((row[lo:hi] - first) * nq, n) + block.query[where]
-        score = np.bincount(cell, np.repeat(weight[lo:hi], n) * block.idf[where], m * nq)
+        c, at_row, w = codes[lo:hi], row[lo:hi] - first, weight[lo:hi]
+        column = block.dense[c]
+        shared = column >= 0
+        c, n = c[~shared], (block.at[c + 1] - block.at[c])[~shared]
+        total = int(n.sum())
+        where = np.repeat(block.at[c] - np.r_[0, np.cumsum(n)[:-1]][: len(n)], n) + np.arange(total)
+        cell = np.repeat(at_row[~shared] * nq, n) + block.query[where]
+        score = np.bincount(cell, np.repeat(w[~shared], n) * block.idf[where], m * nq)
         hits = np.bincount(cell, minlength=m * nq)
+        if shared.any():
+            texts = np.zeros((m, len(block.matrix)))
+            texts[at_row[shared], column[shared]] = w[shared]
+            score += (texts @ block.matrix).ravel()
+            hits = hits + np.rint((texts > 0).astype(np.float32) @ block.asks).astype(np.int64).ravel()
         keep = hits > 0
         if share:
             keep &= hits >= share * np.tile(block.size, m)
