@@ -207,7 +207,7 @@ _ID = re.compile(
     r")(?![\w-]|\.\d)",
     re.A,
 )
-_PHONE = re.compile(r"(?<![\w.+/:-])(?:\+ ?|\(\+|00)?\(?\d(?:[ \t().\-/]{0,3}\d){6,15}(?:\s*(?:ext\.?|x|extension|durchwahl|poste|转|分机)\s*\d{1,6})?(?!\w|[./-]\d|-[A-Za-z])", re.I | re.A)
+_PHONE = re.compile(r"(?<![\w.+/-])(?<![0-9A-Za-z]:)(?:\+ ?|\(\+|00)?\(?\d(?:[ \t().\-/]{0,3}\d){6,15}(?:\s*(?:ext\.?|x|extension|durchwahl|poste|转|分机)\s*\d{1,6})?(?!\w|[./-]\d|-[A-Za-z])", re.I | re.A)
 _US_PHONE = re.compile(r"(?:\+?1[-. ]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[-. ])\d{3}[-. ]\d{4}")
 _OF_A_PHONE = re.compile(r"(?<![A-Za-z])(?:tel|tél|phone|telephone|telefon|téléphone|mobile|mobil|handy|cell|fax|call me|call|text|ruf mich|ruf|anrufen|number is|appelez|joindre|电话|手机|拨打|致电|联系电话|传真)(?![a-z])\.?[^\n.;!?。！？\d]{0,16}$", re.I)
 
@@ -249,7 +249,7 @@ _NOT_GIVEN = frozenset("的了在是和与会提先女同由让给向说问及
 # an end, or at the beginning as who has a task (fixed values).
 _HAN_TITLE = "先生|女士|小姐|老师|博士|教授"
 _HAN_DOES = "(?:会|将|已|来)?(?:提交|复核|审核|负责|确认|批准|回复|处理)"
-_HAN_INTRODUCED = re.compile(rf"(?:(?:我叫|名字是|(?:请|可以)联系|负责人[:：] ?|昨天|今天|刚才)(?=[一-鿿]{{2,4}}?(?:{_HAN_TITLE}|{_HAN_DOES}|[。，！\s]|$))|(?:^|(?<=[\s。！？，]))(?=[一-鿿]{{2,3}}(?:会|将)(?:提交|复核|审核|负责|确认|批准|回复|处理)))([一-鿿]{{2,4}}?)(?={_HAN_TITLE}|{_HAN_DOES}|[。，！\s]|$)")
+_HAN_INTRODUCED = re.compile(rf"(?:(?:我叫|名字是|(?:请|可以)联系|负责人[:：] ?|昨天|今天|刚才)(?=[一-鿿]{{2,4}}?(?:{_HAN_TITLE}|{_HAN_DOES}|[。，！,!\s]|$))|(?:^|(?<=[\s。！？，,!?]))(?=[一-鿿]{{2,3}}(?:会|将)(?:提交|复核|审核|负责|确认|批准|回复|处理)))([一-鿿]{{2,4}}?)(?={_HAN_TITLE}|{_HAN_DOES}|[。，！,!\s]|$)")
 
 
 class Lexicon:
