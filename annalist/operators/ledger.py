@@ -24,6 +24,8 @@ _EDGES = [("at_edge", "boolean"), ("run_at_edge", "boolean")]
 _LOCAL = pa.schema([(n, _TYPES[t]) for n, t in _FIELDS + _EDGES])
 #: Claims that are searched together for what was uncovered.
 BLOCK = 256
+#: Segments of stronger claims that a claim which can't be seen there passes over together.
+SKIP = 256
 
 
 class Held:
@@ -98,6 +100,8 @@ class Timeline:
         self.tile = tile_lo, tile_hi
         self.starts: list[int] = []
         self.segments: list[tuple[int, int, tuple, int]] = []
+        self.holders: list[int] = []  # when the claim of each segment starts
+        self.gaps: list[int] = []  # between each segment and the one before it
         self.closing: dict[tuple, tuple] = {}
         self.closed: list[tuple] = []
         self.held = Held()
@@ -107,6 +111,16 @@ class Timeline:
     def _replace(self, i: int, j: int, fresh: list[tuple]) -> None:
         self.segments[i:j] = fresh
         self.starts[i:j] = [s[0] for s in fresh]
+        self.holders[i:j] = [s[2][0][0] for s in fresh]
+        end = self.segments[i - 1][1] if i else None
+        gaps = []
+        for s in fresh:
+            gaps.append(0 if end is None else s[0] - end)
+            end = s[1]
+        self.gaps[i:j] = gaps
+        after = i + len(fresh)
+        if after < len(self.segments):
+            self.gaps[after] = self.starts[after] - end if end is not None else 0
 
     def _close(self, segment: tuple) -> None:
         if self.now > segment[3]:
@@ -139,6 +153,14 @@ class Timeline:
             self.floor, self.held = rank, self.held.above(rank)
         i, j = self._touched(lo, hi)
         at = self.now
+        k = j  # from k on all segments are of stronger claims, without a gap
+        while k - SKIP > i and min(self.holders[k - SKIP : k]) > rank[0] and max(self.gaps[k - SKIP + 1 : min(k + 1, j)], default=0) == 0:
+            k -= SKIP
+        if k < j:
+            end = self.segments[j - 1][1]
+            if end < hi:
+                self._replace(j, j, [(end, hi, claim, at)])
+            j, hi = k, self.starts[k]
         fresh: list[tuple] = []
         reach = lo  # up to here [lo, hi) is settled
 

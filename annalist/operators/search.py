@@ -19,7 +19,8 @@ from annalist.session import written
 # BM25's constants, the size of chunks and the distance of their starts.
 K1, B = 1.2, 0.75
 CHUNK, STRIDE = 1024, 896
-# Queries that a task scores side by side.
+# Texts that a task scores, and queries that it scores side by side.
+SHARD_TEXTS = 20_000
 QUERY_BLOCK = 4096
 # Terms of a block that are added up as a matrix, at most.
 MOST_SHARED = 2048
@@ -94,7 +95,7 @@ def bm25_indexed(indexed: DataFrame, key: str, queries: DataFrame, n: int, mean:
     of posting and query term is a row; a task holds the queries of one block and the scores of a few texts.
     """
     spark = indexed.sparkSession
-    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SHARD_TEXTS))
     df = indexed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     size = queries.groupBy("query_id").agg(F.count("*").alias("size"))  # terms that no text has count too
     asked = queries.join(df, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", idf(F.lit(n), F.col("df")).alias("w"))).alias("t")).join(size, "query_id")

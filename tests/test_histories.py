@@ -94,6 +94,33 @@ def test_ledger_rows_do_not_depend_on_tiles(spark, seed):
     assert all(r == runs[0] for r in runs)
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_timeline_in_steps(monkeypatch, seed):
+    """A timeline that passes over segments two at a time, and holds claims in blocks of two, against brute force."""
+    from annalist.operators import ledger as module
+
+    monkeypatch.setattr(module, "SKIP", 2)
+    monkeypatch.setattr(module, "BLOCK", 2)
+    r = random.Random(seed)
+    claims = [((lo := r.randrange(60), r.randrange(3), f"c{i:03}"), lo, r.choice([NO_END, lo + r.randrange(1, 12)]), "v", r.choice([None, None, 1])) for i in range(70)]
+    line, live = module.Timeline(None, None), []
+    for n, c in enumerate(claims):
+        line.move(n)
+        line.insert((*c[:4], c[4]))
+        live.append(c)
+        if r.random() < 0.2:
+            gone = live.pop(r.randrange(len(live)))
+            line.withdraw(gone[0], gone[1], gone[2])
+        line.move(n + 0.5)
+        for m in range(75):
+            want = max((x for x in live if x[1] <= m < x[2]), default=None)
+            got = [s[2][0] for s in line.segments if s[0] <= m < s[1]]
+            assert got == ([want[0]] if want else [])
+        assert line.starts == [s[0] for s in line.segments] and line.holders == [s[2][0][0] for s in line.segments]
+        assert line.gaps[1:] == [b[0] - a[1] for a, b in zip(line.segments, line.segments[1:])]
+        assert all(a[1] < b[0] or a[2] is not b[2] for a, b in zip(line.segments, line.segments[1:]))
+
+
 @pytest.mark.parametrize(("seed", "hot"), [(1, 10**6), (2, 10**6), (3, 10), (6, 10), (7, 20)])
 def test_value_periods(spark, seed, hot):
     claims = some_claims(seed)
