@@ -336,6 +336,9 @@ UNION ALL SELECT 'dangling_supersedes', 'error', count(*), min(id) FROM c WHERE
 UNION ALL SELECT 'bad_confidence', 'error', count(*), min(id) FROM c WHERE confidence IS NULL OR confidence < 0 OR confidence > 1""",
         "health_counts": """SELECT 'claims' AS "table", lower(trim(status)) AS status, count(*) AS n FROM claims GROUP BY 2 UNION ALL SELECT 'memory_events', retention_class, count(*) FROM memory_events GROUP BY 2 UNION ALL SELECT 'unified_memory_pilot_v2', phase, count(*) FROM unified_memory_pilot_v2 GROUP BY 2""",
         "ledger_running_balance": """WITH b AS (SELECT o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM orders) SELECT o_orderkey, balance, balance <= 100000000 AS within FROM b""",
+        "slot_batches": """WITH RECURSIVE r AS (SELECT DISTINCT id, tenant_id, partition_key, claim_key, created_at FROM claims WHERE id IS NOT NULL), s AS (SELECT tenant_id, concat_ws('/', partition_key, lower(trim(claim_key))) AS slot, min(created_at) AS f, count(*) AS members FROM r GROUP BY ALL),
+c AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY f, slot) AS k FROM s), g AS (SELECT tenant_id, slot, members, k, CAST(1 AS BIGINT) AS batch, members AS used FROM c WHERE k = 1 UNION ALL
+SELECT c.tenant_id, c.slot, c.members, c.k, CASE WHEN g.used + c.members > 40 THEN g.batch + 1 ELSE g.batch END, CASE WHEN g.used + c.members > 40 THEN c.members ELSE g.used + c.members END FROM g JOIN c ON c.tenant_id IS NOT DISTINCT FROM g.tenant_id AND c.k = g.k + 1) SELECT tenant_id, slot, members, batch FROM g""",
         "readiness_fold": """SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS completed, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'blocked' WHEN bool_and(o_orderstatus = 'F') THEN 'reached' ELSE 'processing' END AS stage FROM orders GROUP BY 1""",
         "cache_eviction": "SELECT doc_id FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY created_at DESC, doc_id ROWS UNBOUNDED PRECEDING) AS u FROM documents WHERE created_at IS NOT NULL) WHERE u <= (SELECT sum(n_chars) FROM documents WHERE created_at IS NOT NULL) // 2",
         "episode_sessions": """WITH e AS (SELECT DISTINCT id, session_id, user_id, event_type, occurred_at FROM memory_events), k AS (SELECT *, coalesce('session_id:' || session_id, 'user_id:' || user_id, 'id:' || id) AS episode FROM e)
