@@ -128,3 +128,25 @@ def arm_means(results: DataFrame) -> DataFrame:
     """Per arm how many runs were planned and completed, and the mean score over both: a run that wasn't completed counts as 0 of the planned."""
     per = results.groupBy("arm").agg(F.count("*").alias("planned"), F.count("score").alias("completed"), F.avg(F.coalesce("score", F.lit(0.0))).alias("a"), F.avg("score").alias("b"))
     return per.select("arm", "planned", "completed", F.round("a", 6).alias("planned_mean"), F.round("b", 6).alias("completed_mean"))
+
+
+def compared(baseline: DataFrame, candidate: DataFrame, group: list[str], score: str, cost: str, latency: str, tolerance: float = 0.02, most_cost: float = 1.1, most_latency: float = 1.1) -> DataFrame:
+    """Per group a candidate against its baseline: means of the score, ratios of mean cost and of the 95th percentile of latency, and a verdict.
+
+    regression if the mean score falls by more than tolerance, too_costly or too_slow if a ratio is over its limit, incomplete if one side has no rows, else accepted. The
+    percentile is exact: the least value that at least 95 of 100 rows don't exceed.
+    """
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        means = df.groupBy(*group).agg(F.count("*").alias(f"{name}_n"), F.avg(score).alias(f"{name}_score"), F.avg(cost).alias(f"{name}_cost"))
+        p95 = exact_percentiles(df, group, latency, [0.95]).select(*group, F.col(latency).alias(f"{name}_p95"))
+        return means.join(p95, group, "left")
+
+    both = side(baseline, "old").join(side(candidate, "new"), group, "full_outer")
+    ratio = lambda c: F.col(f"new_{c}") / F.nullif(F.col(f"old_{c}"), F.lit(0))
+    both = both.withColumn("score_change", F.col("new_score") - F.col("old_score")).withColumn("cost_ratio", ratio("cost")).withColumn("p95_ratio", ratio("p95"))
+    verdict = (
+        F.when(F.col("old_n").isNull() | F.col("new_n").isNull(), "incomplete").when(F.col("score_change") < -tolerance, "regression")
+        .when(F.col("cost_ratio") > most_cost, "too_costly").when(F.col("p95_ratio") > most_latency, "too_slow").otherwise("accepted")
+    )
+    return both.select(*group, "score_change", "cost_ratio", "p95_ratio", verdict.alias("verdict"))

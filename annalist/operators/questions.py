@@ -56,3 +56,18 @@ def fair_order(jobs: DataFrame, tenant: str, priority: Column, tie: list[Column]
 def backoff(attempts: Column, most: int = 300) -> Column:
     """Seconds until the next attempt: 1, 2, 4, ... up to most."""
     return F.least(F.lit(float(most)), F.pow(F.lit(2.0), F.least(F.lit(9), F.greatest(F.lit(0), attempts - 1))))
+
+
+def changed_groups(old: DataFrame, new: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
+    """What a change of rows does to each group that an answer is made of: group and effect (added, removed, changed or same).
+
+    Compares fingerprints that are aggregated before they move, so no row is joined with another.
+    """
+    a, b = signatures(old, group, columns), signatures(new, group, columns)
+    right = b.select(*(F.col(g).alias(f"_g_{g}") for g in group), *(F.col(c).alias(f"_n{c}") for c in ("_rows", "_xor", "_sum")))
+    both = a.join(right, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group], "full_outer")
+    same = F.lit(True)
+    for c in ("_rows", "_xor", "_sum"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_n{c}"))
+    effect = F.when(F.col("_rows").isNull(), "added").when(F.col("_n_rows").isNull(), "removed").when(same, "same").otherwise("changed")
+    return both.select(*(F.coalesce(g, f"_g_{g}").alias(g) for g in group), effect.alias("effect"))

@@ -12,7 +12,8 @@ from annalist.functions import questions as Q
 from annalist.functions import text as T
 from annalist.functions.text import digest
 from annalist.functions.time import DAY_US, NO_END, micros
-from annalist.operators import consolidate, evaluate, evidence, fusion, governance, ontology, rules, scope, search, vectors
+from annalist.operators import consolidate, evaluate, evidence, fusion, governance, ontology, rules, scope, search, vectors, versions
+from annalist.operators import questions as standing
 from annalist.operators.ledger import SLOT
 from annalist.queries import retrieval
 from annalist.queries.histories import _ledger_of
@@ -265,7 +266,30 @@ def leak_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return governance.leaks(events, "id", "content", known)
 
 
-NAMES = (atom_statements, granted_reads, leak_fingerprints, query_clauses, query_facets, governed_recall, evidence_proofs, evidence_branch_score, claim_projection, queue_state, queue_leases, episode_attachments, episode_rewards, procedure_candidates, composed_view, contextual_view, admission_batches, experiment_arms)
+def group_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Which customers' answers a change of orders touches: some orders are new, some gone, some of another price."""
+    rows = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice")
+    old = rows.filter("o_custkey % 11 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 40 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return standing.changed_groups(old, rows.filter("o_custkey % 13 <> 0"), ["o_custkey"], ["o_orderkey", "o_totalprice"])
+
+
+def optimization_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each type after the first of June against those before: how many are live, how long they are, how late they come."""
+    rows = table(spark, d, "memory_events", "id", "event_type", "content", "occurred_at", "ingested_at", "archived_at").filter("id IS NOT NULL AND content IS NOT NULL")
+    once = rows.groupBy("id").agg(F.min(F.struct("ingested_at", "event_type", "content", "occurred_at", "archived_at")).alias("e")).select("id", "e.*")
+    once = once.select("event_type", (micros("occurred_at") >= _AT_US).alias("after"), F.col("archived_at").isNull().cast("double").alias("score"), F.length("content").cast("double").alias("cost"), (micros("ingested_at") - micros("occurred_at")).alias("late_us"))
+    out = evaluate.compared(once.filter(~F.col("after")), once.filter("after"), ["event_type"], "score", "cost", "late_us")
+    return out.select("event_type", *(F.round(c, 6).alias(c) for c in ("score_change", "cost_ratio", "p95_ratio")), "verdict")
+
+
+def validity_at(spark: SparkSession, d: str) -> DataFrame:
+    """The claims that hold on the first of June by their own bounds, with these as instants."""
+    rows = table(spark, d, "claims", "id", "valid_from", "valid_to").filter("id IS NOT NULL").distinct()
+    held = rows.select("id", micros("valid_from").alias("from_us"), micros("valid_to").alias("to_us"))
+    return held.filter(versions.holds_at("from_us", "to_us", _AT_US))
+
+
+NAMES = (group_changes, optimization_comparison, validity_at, atom_statements, granted_reads, leak_fingerprints, query_clauses, query_facets, governed_recall, evidence_proofs, evidence_branch_score, claim_projection, queue_state, queue_leases, episode_attachments, episode_rewards, procedure_candidates, composed_view, contextual_view, admission_batches, experiment_arms)
 
 
 def queries() -> dict:
@@ -317,6 +341,12 @@ o AS (SELECT user_id, session_id, id FROM live WHERE session_id IS NOT NULL UNIO
     stated = " ".join(f"WHEN regexp_full_match(sentence, '{p.replace(chr(39), chr(39) * 2)}') THEN {{'predicate': '{a}', 'modality': '{b}', 'retention': '{c}', 'value': trim(regexp_extract(sentence, '^{p.replace(chr(39), chr(39) * 2)}$', 1))}}" for a, b, c, p in atoms.RULES)
     leaks = lambda t, k, c: " UNION ALL ".join(f"SELECT '{n}' AS pattern, '{s}' AS severity, {k} AS k, unnest(list_distinct(regexp_extract_all({c}, '{p.replace(chr(39), chr(39) * 2)}'))) AS m FROM {t}" for n, s, p, _ in governance.PATTERNS)
     return {
+        "group_changes": """WITH r AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders), a AS (SELECT o_custkey, list_sort(list((o_orderkey, CASE WHEN o_orderkey % 40 = 0 THEN o_totalprice + 1 ELSE o_totalprice END))) AS x FROM r WHERE o_custkey % 11 <> 0 GROUP BY 1), b AS (SELECT o_custkey, list_sort(list((o_orderkey, o_totalprice))) AS y FROM r WHERE o_custkey % 13 <> 0 GROUP BY 1)
+SELECT o_custkey, CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' WHEN x = y THEN 'same' ELSE 'changed' END AS effect FROM a FULL JOIN b USING (o_custkey)""",
+        "optimization_comparison": """WITH f AS (SELECT * FROM memory_events WHERE id IS NOT NULL AND content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at) = 1), e AS (SELECT event_type, epoch_us(occurred_at) >= 1780272000000000 AS after, CASE WHEN archived_at IS NULL THEN 1.0 ELSE 0 END AS score, length(content) AS cost, epoch_us(ingested_at) - epoch_us(occurred_at) AS late FROM f),
+g AS (SELECT event_type, after, avg(score) AS s, avg(cost) AS c, quantile_disc(late, 0.95) AS p FROM e GROUP BY ALL), j AS (SELECT coalesce(a.event_type, b.event_type) AS event_type, b.s - a.s AS ds, b.c / nullif(a.c, 0) AS rc, b.p / nullif(a.p, 0) AS rp, a.s IS NULL OR b.s IS NULL AS missing FROM (SELECT * FROM g WHERE NOT after) a FULL JOIN (SELECT * FROM g WHERE after) b ON a.event_type = b.event_type)
+SELECT event_type, round(ds, 6) AS score_change, round(rc, 6) AS cost_ratio, round(rp, 6) AS p95_ratio, CASE WHEN missing THEN 'incomplete' WHEN ds < -0.02 THEN 'regression' WHEN rc > 1.1 THEN 'too_costly' WHEN rp > 1.1 THEN 'too_slow' ELSE 'accepted' END AS verdict FROM j""",
+        "validity_at": f"SELECT DISTINCT id, epoch_us(valid_from) AS from_us, epoch_us(valid_to) AS to_us FROM claims WHERE id IS NOT NULL AND epoch_us(valid_from) <= {_AT_US} AND (valid_to IS NULL OR epoch_us(valid_to) > {_AT_US})",
         "atom_statements": f"""WITH {said}, s AS (SELECT DISTINCT id, trim(unnest(regexp_split_to_array(content, '{atoms.ENDS}'))) AS sentence FROM m), f AS (SELECT id, sentence, CASE {stated} END AS f FROM s WHERE sentence <> '')
 SELECT id, sentence, f.predicate, f.modality, f.retention, f.value FROM f WHERE f IS NOT NULL""",
         "granted_reads": """WITH e AS (SELECT DISTINCT id, user_id, event_type, epoch_us(occurred_at) AS t FROM memory_events WHERE id IS NOT NULL AND user_id IS NOT NULL), g AS (SELECT user_id, t, min(CASE WHEN event_type = 'preference.changed' THEN t + 2592000000000 ELSE t END) AS u FROM e WHERE event_type IN ('preference.changed', 'tool.failed') GROUP BY ALL)
