@@ -55,8 +55,9 @@ class Known:
         spans = versions.select(*names, "id", F.coalesce("strong_1", F.lit(_BEGIN)).cast("bigint").alias("strong_1"), F.coalesce("strong_2", F.lit(-1)).cast("bigint").alias("strong_2"), F.greatest("from_us", "created_us").alias("at"), F.col("to_us").alias("hi"))
         for cond in [*(F.col(k).isNotNull() for k in names), F.col("id").isNotNull(), F.col("at") < F.col("hi")]:
             spans = spans.filter(cond)
+        spans = written(spans, "spans")
         cuts = cuts or find_cuts(spans.select(*names, "at", "hi"), keys, ["at", "hi"], **hot)
-        spans = written(_in_periods(spans, cuts, period_us, _p0="at", _p1="hi"), "spans")
+        spans = _in_periods(spans, cuts, period_us, _p0="at", _p1="hi")
         ends = F.when(F.col("hi") < 2**62, F.array("_p0", "_p1")).otherwise(F.array("_p0"))
         periods = written(spans.select(*names, F.explode(ends).alias("period")).distinct(), "periods")
 
@@ -86,7 +87,7 @@ class Known:
         asked = events.select(*names, F.col("at_us").alias("at"), F.col("event_id").alias("id"))
         for cond in [*(F.col(k).isNotNull() for k in names), F.col("id").isNotNull(), F.col("at").isNotNull()]:
             asked = asked.filter(cond)
-        asked = _in_periods(asked, self.cuts, self.period_us, period="at").withColumn("_event", F.lit(1))
+        asked = _in_periods(written(asked, "asked"), self.cuts, self.period_us, period="at").withColumn("_event", F.lit(1))
         kind = dict(asked.dtypes)["id"]
         starts = self.periods.join(asked.select(*names).distinct(), names, "left_semi").select(*names, F.lit(None).cast("bigint").alias("at"), F.lit(None).cast(kind).alias("id"), "period", F.lit(0).alias("_event"))
         own = F.when(F.col("_event") == 0, F.col("period"))
