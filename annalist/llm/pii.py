@@ -22,6 +22,8 @@ KINDS = ("email", "id_number", "phone", "address", "name")
 MOST_TERMS = 100_000
 #: Texts of at most so many characters are remembered with their mentions.
 SHORT = 500
+#: A word of more characters is no part of a name.
+LONGEST_NAME = 60
 
 # Letters that look like Latin ones, and what they look like.
 _LOOKALIKE = dict(zip("АВЕЅІЈКМНОРСТУХаеіјорсухѕԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧονіıɡ", "ABESIJKMHOPCTYXaeijopcyxsdhqwABEZHIKMNOPTYXoving"[:47], strict=False))
@@ -85,7 +87,7 @@ _SPOKEN = rf"(?:(?<![^\W\d_])(?:{'|'.join(_TIMES)})[\s-]+)?{_A_DIGIT_WORD}"
 _WORD_RUN = re.compile(rf"(?:{_SPOKEN}|(?<![\w.])\d{{1,4}}(?=[\s,.-]+(?:{_SPOKEN}|\d{{1,4}}[\s,.-]+{_SPOKEN})))(?:[\s,.-]+(?:{_SPOKEN}|\d{{1,5}}(?![\w])))+", re.I)
 _SPOKEN_ITEM = re.compile(rf"(?:({'|'.join(_TIMES)})[\s-]+)?({'|'.join(_DIGIT_WORDS)}|\d+)", re.I)
 _HAN_RUN = re.compile(f"(?:[{''.join(_HAN_DIGITS)}][ -]?|[0-9](?=[0-9 -]*[{''.join(_HAN_DIGITS)}])|(?<=[{''.join(_HAN_DIGITS)}])[0-9]+[ -]?){{7,}}")
-_BRACKETED = re.compile(rf"\s*[(\[{{<]\s*(?:({_AT_WORDS})|({_DOT_WORDS}))\s*[)\]}}>]\s*", re.I)
+_BRACKETED = re.compile(rf"(?<!\s)\s*[(\[{{<]\s*(?:({_AT_WORDS})|({_DOT_WORDS}))\s*[)\]}}>]\s*", re.I)
 _AT = rf"\s*[(\[{{<]\s*(?:{_AT_WORDS}|@)\s*[)\]}}>]\s*|\s+(?:{_BARE_AT})\s+|\s*艾特\s*|\s*@\s*"
 _DOT = rf"\s*[(\[{{<]\s*(?:{_DOT_WORDS}|\.)\s*[)\]}}>]\s*|\s+(?:dot|punkt|point)\s+|\s*点\s*|\."
 _ADDRESS_LIKE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9_%+-]*(?:(?:{_DOT})[A-Za-z0-9_%+-]+)*?({_AT})[A-Za-z0-9-]+((?:(?:{_DOT})[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.I)
@@ -285,6 +287,8 @@ class Lexicon:
 
     def _part(self, word: str) -> str:
         """'g', 'f', 'gf' or '' for a capitalised Latin word; of a double name all parts must fit."""
+        if len(word) > LONGEST_NAME:
+            return ""
         kinds = [self._simple(w) for w in word.lower().split("-")]
         return "".join(k for k in "gf" if all(k in x for x in kinds))
 
