@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,19 +9,15 @@ from annalist.functions.time import DAY_US, HOUR_US, micros
 from annalist.operators.vectors import nearest, normalised, usable
 from annalist.plans.standing import Question, StandingQuestions
 from annalist.plugins import Manifest, Registry
-from annalist.session import shared_dir
+from annalist.session import scratch
 from annalist.sources import snapshots
 from annalist.sources.tables import table
 from annalist.streaming import pipelines
 
 
-def _folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, rows: DataFrame, order: str, slices: int = 4) -> DataFrame:
     """The rows as a stream of several batches, in order of a timestamp: they are written slice by slice and read so."""
-    at = _folder(spark, "arrivals")
+    at = scratch(spark, "arrivals")
     us = micros(order)
     n, *cuts = rows.agg(F.count("*"), F.percentile_approx(us, [k / slices for k in range(1, slices)], 10_000)).first()
     edges = [None, *(cuts[0] or []), None]
@@ -37,7 +31,7 @@ def _stream(spark: SparkSession, rows: DataFrame, order: str, slices: int = 4) -
 
 def stream_ingest_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Events taken in once each from a stream that delivers some again, in later batches too."""
-    at = _folder(spark, "ingest")
+    at = scratch(spark, "ingest")
     rows = table(spark, d, "memory_events", "id", "event_type", "ingested_at").filter("id IS NOT NULL")
     rows = _stream(spark, rows, "ingested_at").select("id", "event_type", F.col("ingested_at").cast("timestamp").alias("seen"))
     pipelines.ingest(rows, ["id"], "seen", "400 days", f"{at}/out", f"{at}/log")
@@ -45,7 +39,7 @@ def stream_ingest_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pane_store(spark: SparkSession, d: str) -> pipelines.PaneStore:
-    at = _folder(spark, "panes")
+    at = scratch(spark, "panes")
     store = pipelines.PaneStore(spark, f"{at}/store")
     rows = table(spark, d, "memory_events", "id", "ingested_at", "occurred_at", "event_type")
     pipelines.pane_stream(_stream(spark, rows, "ingested_at"), store, f"{at}/log")
@@ -64,7 +58,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_session_dirty(spark: SparkSession, d: str) -> DataFrame:
     """Bursts of events per user that a pause of six hours ends, updated batch by batch."""
-    at = _folder(spark, "sessions")
+    at = scratch(spark, "sessions")
     rows = _stream(spark, table(spark, d, "events", "user_id", "ts"), "ts").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     pipelines.sessions(rows, "user_id", "ts", 6 * HOUR_US, "2 days", f"{at}/out", f"{at}/log")
     return pipelines.latest_sessions(spark, f"{at}/out", "user_id")
@@ -72,7 +66,7 @@ def stream_session_dirty(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_late_parents(spark: SparkSession, d: str) -> DataFrame:
     """Claims accepted once the claim they supersede has come, if it does within ninety days; else they expire or still wait."""
-    at = _folder(spark, "parents")
+    at = scratch(spark, "parents")
     claims = table(spark, d, "claims", "id", "supersedes", "created_at").filter("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("created_at", "supersedes")).alias("c")).select("id", "c.*")
     claims = _stream(spark, claims, "created_at").withColumn("at", F.col("created_at").cast("timestamp"))
     own = claims.select(F.col("id").alias("key"), "id", F.lit(True).alias("is_parent"), "at")
@@ -84,7 +78,7 @@ def stream_late_parents(spark: SparkSession, d: str) -> DataFrame:
 
 def snapshot_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Claims exported as JSON lines with a manifest, read back and checked, without those rejected since."""
-    at = _folder(spark, "snapshot")
+    at = scratch(spark, "snapshot")
     rows = table(spark, d, "claims", "id", "tenant_id", "claim_key", "value_json", "confidence", "version")
     columns = ["id", "claim_key", "value_json", "version"]
     snapshots.export(rows, at, "tenant_id", columns)
@@ -102,7 +96,7 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
 
 def standing_question_read(spark: SparkSession, d: str) -> DataFrame:
     """A question over another question, read twice and made once."""
-    store = StandingQuestions(spark, _folder(spark, "questions"), {"orders": table(spark, d, "orders"), "customer": table(spark, d, "customer")})
+    store = StandingQuestions(spark, scratch(spark, "questions"), {"orders": table(spark, d, "orders"), "customer": table(spark, d, "customer")})
     store.register(Question("spent", ("orders",), lambda o: o.groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("spent")), ("spending",)))
     store.register(Question("segments", ("spent", "customer"), lambda s, c: s.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.count("*").alias("customers"), F.round(F.sum("spent"), 2).alias("spent"))))
     store.read("segments")
@@ -129,7 +123,7 @@ def retriever_plugins(spark: SparkSession, d: str) -> DataFrame:
 
 def versioned_promotion(spark: SparkSession, d: str) -> DataFrame:
     """A table built beside the one that is read, checked, and promoted."""
-    store = snapshots.VersionedTable(spark, _folder(spark, "versions"))
+    store = snapshots.VersionedTable(spark, scratch(spark, "versions"))
     rows = table(spark, d, "claims", "id", "created_at").filter("id IS NOT NULL").select("id", micros("created_at").alias("created_us"))
     store.promote(store.stage(rows.limit(0)))
     fresh = store.stage(rows.groupBy("id").agg(F.min("created_us").alias("created_us")))

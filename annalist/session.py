@@ -68,14 +68,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder in the shared one, which is deleted when the program ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def written(df: DataFrame, what: str = "step") -> DataFrame:
     """The rows of df from a table written to the shared folder: cuts lineage and survives lost executors.
 
     The table is deleted when the program ends, so what is made of it must be saved before.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = scratch(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
