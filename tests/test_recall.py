@@ -155,3 +155,31 @@ def test_arms(spark):
     out = evaluate.run_arms(items, "q", {"good": good, "bad": bad}, lambda asked, found: found.withColumn("score", F.lit(0.5)))
     assert rows(out) == [("bad", 1, "failed", None), ("bad", 2, "failed", None), ("good", 1, "completed", 0.5), ("good", 2, "empty", None)]
     assert rows(evaluate.arm_means(out)) == [("bad", 2, 0, 0.0, None), ("good", 2, 1, 0.25, 0.5)]
+
+
+def test_kept_until_its_files_change(spark, tmp_path):
+    from annalist.session import kept
+
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.read.parquet(str(tmp_path / "t")).groupBy().count()
+
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    first = [kept(spark, "x", [str(tmp_path / "t")], make).first()[0] for _ in range(2)]
+    spark.range(4).write.mode("append").parquet(str(tmp_path / "t"))
+    assert first == [3, 3] and kept(spark, "x", [str(tmp_path / "t")], make).first()[0] == 7 and len(made) == 2
+
+
+def test_changes_by_group_and_comparisons(spark):
+    from annalist.operators import questions as standing
+
+    old = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 1), (None, 5)], "g string, v int")
+    new = spark.createDataFrame([("a", 2), ("a", 1), ("b", 2), ("d", 1), (None, 5)], "g string, v int")
+    assert rows(standing.changed_groups(old, new, ["g"], ["v"])) == sorted([("a", "same"), ("b", "changed"), ("c", "removed"), ("d", "added"), (None, "same")], key=repr)
+    schema = "g string, score double, cost double, late bigint"
+    before = spark.createDataFrame([("a", 1.0, 10.0, 5), ("b", 1.0, 10.0, 5), ("c", 1.0, 1.0, 1), ("d", 0.0, 0.0, 0)], schema)
+    after = spark.createDataFrame([("a", 0.5, 10.0, 5), ("b", 1.0, 12.0, 5), ("d", 0.0, 5.0, 3), ("e", 1.0, 1.0, 1)], schema)
+    got = {r.g: (r.verdict, r.cost_ratio) for r in evaluate.compared(before, after, ["g"], "score", "cost", "late").collect()}
+    assert got == {"a": ("regression", 1.0), "b": ("too_costly", 1.2), "c": ("incomplete", None), "d": ("accepted", None), "e": ("incomplete", None)}
